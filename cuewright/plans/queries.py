@@ -6,6 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from cuewright.operators import intervals, latest
 
-ORACLE: dict[str, str] = {}
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "segments").select("media_id", "seg_idx", "start_ms", "end_ms", "ingested_at")
+    current = latest.latest_in_blocks(rows, "media_id", "seg_idx", "ingested_at")
+    found = intervals.coverage(current, "media_id", "start_ms", "end_ms", join_below=500, max_gap=600_000)
+    return found.select("media_id", "item_kind", "from_ms", "to_ms")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+}
+
+#: Current rows of ``segments``: of each key the one ingested last.
+CURRENT = """current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY ingested_at DESC) AS rn
+  FROM segments WHERE media_id IS NOT NULL AND seg_idx IS NOT NULL) WHERE rn = 1)"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"""WITH {CURRENT},
+spans AS (SELECT media_id, CAST(floor(start_ms + 0.5) AS BIGINT) AS a, CAST(floor(end_ms + 0.5) AS BIGINT) AS b FROM current
+  WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL AND isfinite(start_ms) AND isfinite(end_ms)),
+reach AS (SELECT *, max(b) OVER (PARTITION BY media_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM spans WHERE b > a),
+marked AS (SELECT *, sum(CASE WHEN upto IS NULL OR a - upto >= 500 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM reach),
+periods AS (SELECT media_id, k, min(a) AS a, max(b) AS b FROM marked GROUP BY ALL),
+holes AS (SELECT media_id, lag(b) OVER (PARTITION BY media_id ORDER BY a) AS a, a AS b FROM periods)
+SELECT media_id, 'period' AS item_kind, a AS from_ms, b AS to_ms FROM periods
+UNION ALL SELECT media_id, 'gap', a, b FROM holes WHERE b - a BETWEEN 500 AND 600000""",
+}
