@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.llm import bpe, runs
+from cuewright.llm import bpe, runs, turns
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,12 +17,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse(_table(spark, folder, "segments"), least=2).select("media_id", "first_seg_idx", "last_seg_idx")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = turns.speaker_turns(_table(spark, folder, "segments"), _table(spark, folder, "speakers"))
+    return found.where("opened_by IN ('label', 'flag')").select("media_id", "seg_idx", "speaker_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Joins the texts of a batch, so that one pass of a pattern serves all of them.
-GLUE = "\x1e"
+GLUE = "\x01"
 
 #: Words of sound notes in round brackets.
 SOUND_WORDS = (
@@ -19,16 +19,16 @@ FILLERS = ["you know", "i mean", "uhm", "uh", "um", "erm", "hmm", "hm", "ehm", "
 #: Fillers that are words too; they count as fillers only before a comma or dots.
 DOUBTFUL_FILLERS = ["er", "em", "este", "no", "nou", "ben", "né", "ach"]
 
-TIME_STAMP = re.compile(r"[\[(<]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\])>]|(?:(?<=\x1e)|^)\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?=\s)")
+TIME_STAMP = re.compile(r"[\[(<]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\])>]|(?:(?<=\x01)|^)\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?=\s)")
 _sound = "|".join(sorted(SOUND_WORDS, key=len, reverse=True))
-SOUND_NOTE = re.compile(rf"\[[^\[\]\x1e]*\]|\(\s*(?:(?:{_sound})[\s.!,]*)+\)|\*[^*\x1e]+\*|<[^<>\x1e]*>|[♪♫🎵🎶]", re.I)
+SOUND_NOTE = re.compile(rf"\[[^\[\]\x01]*\]|\(\s*(?:(?:{_sound})[\s.!,]*)+\)|\*[^*\x01]+\*|<[^<>\x01]*>|[♪♫🎵🎶]", re.I)
 _longest = sorted(FILLERS, key=len, reverse=True)
 FILLER = re.compile(
     r"\b(?:" + "|".join(re.escape(f) for f in _longest) + r")\b(?:\s*(?:,|\.\.\.|…))?|\b(?:" + "|".join(DOUBTFUL_FILLERS) + r")\b(?=\s*(?:,|\.\.\.|…))",
     re.I,
 )
-_NO_WORD = re.compile(r"[^\w\x1e]+")
-_NO_WORD_OR_NOTE = re.compile(r"[^\w\x1e♪]+")
+_NO_WORD = re.compile(r"[^\w\x01]+")
+_NO_WORD_OR_NOTE = re.compile(r"[^\w\x01♪]+")
 _REPEATED = re.compile(r"\b(\w+)(?: \1\b)+")
 
 
@@ -99,7 +99,7 @@ def alike(a: str, b: str) -> bool:
     return len(other) <= 2 and all(misspelt(u, v) for u, v in other)
 
 
-_BLANKS = re.compile(r"[^\S\x1e]+")
+_BLANKS = re.compile(r"[^\S\x01]+")
 
 
 def cleaned(texts: list[str]) -> list[str]:
