@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.llm import bpe, runs, turns
+from cuewright.llm import bpe, leak, runs, turns
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,10 +26,16 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_table(spark, folder, "documents"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leak.leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
 }
 
 ORACLE: dict[str, str] = {}
