@@ -5,14 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuewright.llm import bpe, leak, runs, turns
+from cuewright.llm import bpe, lang, leak, runs, turns
+from cuewright.operators.latest import latest, latest_in_blocks
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    filters = lang.fit(documents)
+    kind = lambda name: F.lit(name).alias("item_kind")
+    whole = F.lit(-1).alias("seg_idx")
+
+    # The label takes part in the same narrow stage as the text: no join.
+    keyed = documents.select(F.struct("doc_id", lang.named_language(F.col("lang")).alias("named")).alias("key"), "text")
+    found = lang.document_languages(keyed, filters, key="key")
+    main = F.struct(F.lit("document").alias("item_kind"), F.col("detected").alias("lang"))
+    wrong = ~F.col("key.named").eqNullSafe(F.col("detected"))
+    foreign = F.filter("tally", lambda t: (t["sentences"] >= 3) & (t["lang"] != F.col("detected")))
+    parts = F.concat(F.transform(foreign, lambda t: t["lang"]), F.array("detected"))
+    cases = F.concat(
+        F.when(wrong, F.array(main)).otherwise(F.array()),
+        F.when(F.size(foreign) > 0, F.transform(parts, lambda t: F.struct(F.lit("mixed").alias("item_kind"), t.alias("lang")))).otherwise(F.array()),
+    )
+    in_documents = found.where("detected IS NOT NULL").select(F.col("key.doc_id").cast("string").alias("item_key"), F.inline(cases)).select("item_kind", "item_key", whole, "lang")
+
+    segments = _table(spark, folder, "segments").select("media_id", "seg_idx", "text", "ingested_at")
+    current = latest_in_blocks(segments, "media_id", "seg_idx", "ingested_at")
+    by_block = lang.segment_languages(current, filters).repartition("media_id")  # three readers share this exchange
+    mains = lang.main_languages(by_block)
+    in_segments = (
+        by_block.join(mains, "media_id").where("lang <> main").select(kind("segment"), F.col("media_id").alias("item_key"), F.explode(F.col("positions").cast("array<int>")).alias("seg_idx"), "lang")
+    )
+
+    videos = latest(_table(spark, folder, "videos").select("media_id", "subtitle_languages", "fetched_at"), ["media_id"], "fetched_at", ["subtitle_languages"])
+    listed = F.coalesce(F.transform("subtitle_languages", lang.named_language), F.array().cast("array<string>"))
+    in_videos = (
+        videos.join(mains, "media_id").where(~F.coalesce(F.array_contains(F.array_compact(listed), F.col("main")), F.lit(False))).select(kind("video"), F.col("media_id").alias("item_key"), whole, F.col("main").alias("lang"))
+    )
+    return in_documents.unionByName(in_segments).unionByName(in_videos)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse(_table(spark, folder, "segments"), least=2).select("media_id", "first_seg_idx", "last_seg_idx")
 
@@ -32,6 +69,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
