@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import bpe, lang, leak, runs, turns
+from cuewright.llm import bpe, lang, leak, reading, runs, turns
 from cuewright.operators.latest import latest, latest_in_blocks
 
 
@@ -68,12 +68,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = reading.fit(_table(spark, folder, "graded_passages"), documents)
+    return reading.reading_levels(documents, model, lang.fit(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 ORACLE: dict[str, str] = {}
