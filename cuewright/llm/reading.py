@@ -13,6 +13,7 @@ punctuation; texts that have lost theirs are placed by the second.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ from cuewright.llm.lang import Filters, _asides, decide, sentences
 LEAST_WORDS = 100
 #: Words with at least this share of all words of the corpus are known by their counts.
 COMMON = 2e-5
+#: A sentence of at least so many words in at least this share of the documents is a formula.
+USUAL, USUAL_WORDS = 0.005, 12
 #: Words that connect clauses, and words that open dependent ones.
 CONNECTIVES = (
     "although because since unless whereas therefore consequently notwithstanding insofar albeit despite however moreover furthermore nevertheless "
@@ -38,15 +41,32 @@ OPENERS = "which that whose whom who where whereupon whereby wherein whether if
 FEATURES = (
     "letters", "long", "very_long", "short", "diversity", "rarity", "rare", "connectives", "openers", "low_letters", "mid_letters", "high_letters",
     "sentence", "commas", "semicolons", "depth", "mid_sentence", "mid_sentence_letters", "short_sentences", "long_sentences",
+    "mean_score", "mid_score", "mean_place",
 )
 #: Those that need no punctuation.
 LEXICAL = tuple(range(12))
+#: The last three say how hard single sentences are, by a regression over these features of sentences.
+SENTENCE_FEATURES = ("letters", "long", "very_long", "short", "words", "commas", "connectives", "openers", "clauses", "long_words")
 #: Words in a window, for features of the plainer and the harder parts of a text.
 WINDOW = 12
 #: A text with more words to an end mark than this has lost its punctuation.
 LOST = 75
 
 
+_CALL = re.compile(rb"(?:(?<=\n)|^)[^\n:]{2,50}: [^\n]{0,60}[.!?](?=\n|$)")
+
+
+def _calls(data: np.ndarray) -> np.ndarray:
+    """Bytes of short lines under a label of their own: calls by others."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    body = data.tobytes()
+    if b": " in body:
+        spans = np.array([m.span() for m in _CALL.finditer(body)], np.int64).reshape(-1, 2)
+        inside[spans[:, 0]] += 1
+        inside[spans[:, 1]] -= 1
+    return np.cumsum(inside[:-1]) > 0
+
+
 def _hashes(listed: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(listed).encode(), np.uint8)
     sizes = np.array([len(w) for w in listed])
@@ -60,49 +80,99 @@ def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    size = 0
+def _sentence_ends(data: np.ndarray, outside: np.ndarray) -> np.ndarray:
+    """Places of end marks; a word of one or two letters before one is an initial or a title, which ends nothing."""
+    marks = np.flatnonzero(outside & np.isin(data, np.frombuffer(b".!?", np.uint8)))
+    follows = np.append(data, 32)[marks + 1]
+    return marks[(follows <= 32) & (data[np.maximum(marks - 2, 0)] > 32) & (data[np.maximum(marks - 3, 0)] > 32)]
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate(kept), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+def _sentence_keys(row: np.ndarray, sentence: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sentence: its first word, its words, and a key of them in order."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (sentence[1:] != sentence[:-1])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(row)))
+    place = np.arange(len(row)) - np.repeat(at, n)
+    with np.errstate(over="ignore"):
+        mixed = hashes * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        return at, n, np.add.reduceat(mixed, at) if len(at) else np.zeros(0, np.uint64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a task and its frequent long sentences; kind 0 counts words, 1 sentences, 2 documents."""
+    kept: list[list[np.ndarray]] = [[], []]
+    counts: list[list[np.ndarray]] = [[], []]
+    documents = 0
+
+    def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        if not kept[kind]:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, at = np.unique(np.concatenate(kept[kind]), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts[kind])).astype(np.int64)
+        kept[kind], counts[kind] = [keys], [n]
+        return keys, n
+
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        yield rows(0, *merged(0))
+        keys, n = merged(1)
+        often = n >= USUAL / 5 * documents
+        yield rows(1, keys[often], n[often])
+        yield rows(2, np.zeros(1, np.uint64), np.array([documents]))
+        for kind in (0, 1):
+            kept[kind], counts[kind] = [], []
 
     for batch in batches:
+        documents += batch.num_rows
         for part in slices(fold(batch.column(0))):
-            keys, n = np.unique(words(part).hash, return_counts=True)
-            kept.append(keys)
-            counts.append(n)
-            size += len(keys)
-            if size > 1 << 20:
-                keys, n = merged()
-                kept, counts, size = [keys], [n], len(keys)
-                if size > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
-                    kept, counts, size = [], [], 0
-    if kept:
-        keys, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-
-def common_words(documents: DataFrame, text: str = "text", share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words with at least ``share`` of the corpus, sorted, and their information in bits.
-
-    There are at most ``1 / share`` of them, whatever the size of the corpus.
+            found = words(part)
+            ends = _sentence_ends(part.data, np.ones(len(part.data), bool))
+            _, n, sentence = _sentence_keys(found.row, np.searchsorted(ends, found.start, "right"), found.hash)
+            for kind, values in ((0, found.hash), (1, sentence[n >= USUAL_WORDS])):
+                keys, n_keys = np.unique(values, return_counts=True)
+                kept[kind].append(keys)
+                counts[kind].append(n_keys)
+        if sum(len(k) for own in kept for k in own) > 1 << 20 and sum(len(merged(kind)[0]) for kind in (0, 1)) > 1 << 19:
+            yield from settled()
+            documents = 0
+    yield from settled()
+
+
+@dataclass
+class Corpus:
+    """What all documents say together: common words with their information in bits, and usual long sentences."""
+
+    words: np.ndarray
+    bits: np.ndarray
+    usual: np.ndarray
+
+
+def corpus_counts(documents: DataFrame, text: str = "text") -> Corpus:
+    """Counts over all documents, of which only frequent keys leave the workers.
+
+    Words with at least ``COMMON`` of all words: at most one over that share,
+    whatever the size of the corpus.  Sentences of ``USUAL_WORDS`` words and more
+    that are as frequent as ``USUAL`` of the documents (formulas): a task reports
+    those it meets in a fifth of that share, so a sentence's count may fall short
+    by that much, and their number is bounded too.
     """
-    schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
-    counted = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(_count_words, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    counted = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = counted.persist()
     try:
-        n_words = counted.agg(F.sum("n")).first()[0] or 0
-        rows = counted.where(F.col("n") >= n_words * share).collect()
+        totals = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+        n_words, n_documents = totals.get(0) or 0, totals.get(2) or 0
+        least = F.when(F.col("kind") == 0, n_words * COMMON).otherwise(max(5.0, n_documents * USUAL))
+        rows = counted.where((F.col("kind") < 2) & (F.col("n") >= least)).collect()
     finally:
         counted.unpersist()
-    keys = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
-    bits = -np.log2(np.array([r["n"] for r in rows], float) / max(n_words, 1))
+    keys = np.array([r["key"] for r in rows if r["kind"] == 0], np.int64).view(np.uint64)
+    bits = -np.log2(np.array([r["n"] for r in rows if r["kind"] == 0], float) / max(n_words, 1))
     order = np.argsort(keys)
-    return keys[order], bits[order]
+    return Corpus(keys[order], bits[order], np.sort(np.array([r["key"] for r in rows if r["kind"] == 1], np.int64).view(np.uint64)))
 
 
 def _grouped(row: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,19 +200,23 @@ def _quantile(row: np.ndarray, value: np.ndarray, rows: int, q: float) -> np.nda
 class Measures:
     """Features of texts, vectorised over slices."""
 
-    def __init__(self, common: tuple[np.ndarray, np.ndarray], share: float = COMMON) -> None:
-        self.keys, self.bits = common
-        self.most = float(-np.log2(share))
+    def __init__(self, corpus: Corpus) -> None:
+        self.keys, self.bits, self.usual = corpus.words, corpus.bits, corpus.usual
+        self.most = float(-np.log2(COMMON))
         self.connectives, self.openers = _hashes(CONNECTIVES), _hashes(OPENERS)
 
-    def of(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """Features of each row, and its words."""
+    def of(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Features of each row but for the last three, its words, features of each sentence, and the row of each."""
         data, rows = part.data, part.rows
-        outside = ~_asides(data)
+        outside = ~(_asides(data) | _calls(data))
         found = words(part)
         all_words = np.bincount(found.row, minlength=rows)
-        letter = (data[found.start] > 57) if len(found.start) else np.zeros(0, bool)  # numbers tell nothing
-        use = letter & outside[found.start] if len(found.start) else letter
+        use = (data[found.start] > 57) & outside[found.start]  # numbers tell nothing
+        at_end = _sentence_ends(data, outside)
+        sentence = np.searchsorted(at_end, found.start, "right")
+        first, n_of, keys = _sentence_keys(found.row, sentence, found.hash)
+        formula = (n_of >= USUAL_WORDS) & _isin(keys, self.usual)
+        use &= ~np.repeat(formula, n_of)
         row, hashes, size = found.row[use], found.hash[use], (found.end - found.start)[use]
         n = np.maximum(np.bincount(row, minlength=rows), 1).astype(float)
 
@@ -158,26 +232,31 @@ class Measures:
             new = np.ones(len(order), bool)
             new[1:] = (row[order][1:] != row[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
             distinct = np.bincount(row[order][new], minlength=rows).astype(float)
-        marks = np.flatnonzero(outside & np.isin(data, np.frombuffer(b".!?,;", np.uint8)))
+        marks = np.flatnonzero(outside & np.isin(data, np.frombuffer(b",;", np.uint8)))
         mark_row = np.searchsorted(part.offsets, marks, "right") - 1
-        follows = np.append(data, 32)[marks + 1]
-        end = np.isin(data[marks], np.frombuffer(b".!?", np.uint8)) & (follows <= 32)
-        # A word of one or two letters before the mark is an initial or a title: that ends no sentence.
-        at_end = marks[end]
-        full = (data[np.maximum(at_end - 2, 0)] > 32) & (data[np.maximum(at_end - 3, 0)] > 32)
-        ends = np.bincount(mark_row[end][full], minlength=rows)
+        ends = np.bincount(np.searchsorted(part.offsets, at_end, "right") - 1, minlength=rows) - np.bincount(found.row[first[formula]], minlength=rows)
         commas = np.bincount(mark_row[data[marks] == 44], minlength=rows)
         semicolons = np.bincount(mark_row[data[marks] == 59], minlength=rows)
+        opens, connects = _isin(hashes, self.openers), _isin(hashes, self.connectives)
+        openers = rate(opens)
         per_sentence = n / np.maximum(ends, 1)
         # Quartiles over windows of words, and medians over sentences: a text may mix plain and hard parts.
-        first = np.searchsorted(row, np.arange(rows))
-        window = (np.arange(len(row)) - first[row]) // WINDOW
+        window = (np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row]) // WINDOW
         own, w_size, w_letters = _grouped(row, window, size)
         low, mid, high = (_quantile(own, w_letters, rows, q) for q in (0.25, 0.5, 0.75))
-        sentence = np.searchsorted(at_end[full], found.start[use], "right")
-        own, s_words, s_letters = _grouped(row, sentence, size)
+        own, s_words, s_letters = _grouped(row, sentence[use], size)
         many = np.maximum(np.bincount(own, minlength=rows), 1)
-        openers = rate(_isin(hashes, self.openers))
+        head = np.flatnonzero(np.diff(row * (len(at_end) + 1) + sentence[use], prepend=-1)) if len(row) else np.zeros(0, np.int64)
+        in_sentence = np.bincount(np.maximum(np.searchsorted(found.start[use][head], marks[data[marks] == 44], "right") - 1, 0), minlength=max(len(head), 1))[: len(head)]
+
+        def part_of(mask: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(mask.astype(float), head) / s_words if len(head) else np.zeros(0)
+
+        long_words = part_of(size >= 8)
+        by_sentence = np.stack(
+            [s_letters, long_words, part_of(size >= 12), part_of(size <= 3), np.log(np.maximum(s_words, 1)), in_sentence / np.maximum(s_words, 1), part_of(connects), part_of(opens), in_sentence, np.sqrt(long_words * s_words)],
+            axis=1,
+        )
         features = np.stack(
             [
                 rate(size),
@@ -187,7 +266,7 @@ class Measures:
                 distinct / np.sqrt(2 * n),
                 rate(bits),
                 rate(bits > 14),
-                rate(_isin(hashes, self.connectives)),
+                rate(connects),
                 openers,
                 low,
                 mid,
@@ -203,7 +282,7 @@ class Measures:
             ],
             axis=1,
         )
-        return features, all_words
+        return features, all_words, by_sentence, own
 
 
 @dataclass
@@ -252,14 +331,37 @@ class Ordinal:
 @dataclass
 class Model:
     measures: Measures
-    full: Ordinal
-    lexical: Ordinal
+    sentence: Ordinal
+    full: Ordinal | None = None
+    lexical: Ordinal | None = None
+
+    def features(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """All features of each row, and its words."""
+        features, n_words, by_sentence, row = self.measures.of(part)
+        score, placed = self.sentence.score(by_sentence), self.sentence.place(by_sentence)
+        n = np.maximum(np.bincount(row, minlength=part.rows), 1)
+        own = [np.bincount(row, score, minlength=part.rows) / n, _quantile(row, score, part.rows, 0.5), np.bincount(row, placed, minlength=part.rows) / n]
+        return np.column_stack([features, *own]), n_words
 
     def levels(self, features: np.ndarray) -> np.ndarray:
         lost = features[:, FEATURES.index("sentence")] > np.log(LOST)
         return np.where(lost, self.lexical.place(features), self.full.place(features))
 
 
+def fit_texts(texts: list[str], levels: list[int], corpus: Corpus) -> Model:
+    """Fit on graded texts: sentences first, each with the level of its text, then whole texts."""
+    measures = Measures(corpus)
+    y = np.array(levels)
+    parts = list(slices(fold(pa.array(texts, pa.string()))))
+    found = [measures.of(p) for p in parts]
+    rows = np.concatenate([p.first + f[3] for p, f in zip(parts, found)])
+    model = Model(measures, Ordinal.fit(np.concatenate([f[2] for f in found]), y[rows], tuple(range(len(SENTENCE_FEATURES))), ridge=0.01))
+    x = np.concatenate([model.features(p)[0] for p in parts])
+    model.full = Ordinal.fit(x, y, tuple(range(len(FEATURES))), ridge=0.1)
+    model.lexical = Ordinal.fit(x, y, LEXICAL, ridge=0.1)
+    return model
+
+
 #: Graded passages are few; more than this are not fitted on.
 MAX_PASSAGES = 20_000
 
@@ -269,16 +371,13 @@ def fit(passages: DataFrame, documents: DataFrame, text: str = "text", level: st
     rows = passages.select(F.col(text).alias("text"), F.col(level).alias("level")).where("text IS NOT NULL AND level IS NOT NULL").orderBy(F.xxhash64("text"), "text", "level").limit(MAX_PASSAGES).collect()
     if not rows:
         raise ValueError("no graded passages to fit on")
-    measures = Measures(common_words(documents))
-    x = np.concatenate([measures.of(part)[0] for part in slices(fold(pa.array([r["text"] for r in rows])))])
-    y = np.array([r["level"] for r in rows])
-    return Model(measures, Ordinal.fit(x, y, tuple(range(len(FEATURES)))), Ordinal.fit(x, y, LEXICAL))
+    return fit_texts([r["text"] for r in rows], [r["level"] for r in rows], corpus_counts(documents))
 
 
 def _levels(batches: Iterator[pa.RecordBatch], model: Model, filters: Filters, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(fold(batch.column(1))):
-            features, n_words = model.measures.of(part)
+            features, n_words = model.features(part)
             cuts = sentences(part)
             n, shares = filters.shares(part.data, cuts)
             own = decide(n, shares)[0]
