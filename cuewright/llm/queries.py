@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import bpe, lang, leak, reading, runs, turns
+from cuewright.llm import bpe, lang, leak, reading, runs, split, turns
 from cuewright.operators.latest import latest, latest_in_blocks
 
 
@@ -15,6 +15,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    limits = split.limits(_table(spark, folder, "split_limits"))
+
+    def cut(kind: str, table: str, keys: list[str], text: str, version: str) -> DataFrame:
+        limit, overlap = limits[kind]
+        # Only texts above the limit travel to where the current version is chosen.
+        rows = _table(spark, folder, table).select(*keys, F.when(F.length(text) > limit, F.col(text)).alias("text"), version)
+        current = latest(rows, keys, version)
+        return split.split_texts(current, keys, "text", limit, overlap).where("n_pieces > 1 AND piece = 0").withColumn("item_kind", F.lit(kind))
+
+    segments = cut("segment", "segments", ["media_id", "seg_idx"], "text", "ingested_at")
+    transcripts = cut("transcript", "understand_results", ["media_id"], "transcript", "created_at").withColumn("seg_idx", F.lit(-1))
+    columns = ["item_kind", "media_id", "seg_idx"]
+    return segments.select(columns).unionByName(transcripts.select(columns))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     filters = lang.fit(documents)
@@ -75,6 +91,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
@@ -83,4 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p1_found": """WITH s AS (SELECT media_id, seg_idx, text, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY ingested_at DESC) AS rn FROM segments),
+u AS (SELECT media_id, transcript, row_number() OVER (PARTITION BY media_id ORDER BY created_at DESC) AS rn FROM understand_results)
+SELECT 'segment' AS item_kind, media_id, seg_idx FROM s WHERE rn = 1 AND length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'segment')
+UNION ALL SELECT 'transcript', media_id, -1 FROM u WHERE rn = 1 AND length(transcript) > (SELECT max_chars FROM split_limits WHERE item_kind = 'transcript')""",
+}
