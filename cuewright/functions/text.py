@@ -83,23 +83,17 @@ def to_fixed(x: Column | str, digits: int) -> Column:
 def fixed1(x: Column | str) -> Column:
     """``to_fixed(x, 1)`` for numbers from 0 to 2**45, without leaving the JVM.
 
-    With ``n`` tenths below ``x``, it must be known whether ``x`` reaches the
-    middle ``t = (2n + 1) / 20``.  The double ``m`` nearest to ``t`` settles it
-    unless ``x = m``; then the sign of ``20 m - (2n + 1)`` does, which is exact
-    as the sum of ``16 m`` and ``4 m`` with its rounding error.
+    Formatting rounds the shortest decimal of a double, so it is wrong where that
+    ends in a 5 which the binary value doesn't quite reach.  There 20 x rounds to
+    an odd whole number from below: the exact rounding error of the sum
+    ``16 x + 4 x`` is negative.
     """
     x = col(x).cast("double")
-    n = F.floor(x * 10)
-    n = F.when(n / 10 > x, n - 1).otherwise(n)
-    odd = (2 * n + 1).cast("double")
-    m = odd / 20
-    a, b = m * 16, m * 4
+    a, b = x * 16, x * 4
     s = a + b
     bb = s - a
-    rest = (s - odd) + ((a - (s - bb)) + (b - bb))
-    up = (x > m) | ((x == m) & (rest >= 0))
-    tenths = F.when(up, n + 1).otherwise(n).cast("long")
-    return F.concat((tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    short = (s % 2 == 1) & ((a - (s - bb)) + (b - bb) < 0)
+    return F.when(x.isNotNull(), F.format_string("%.1f", F.when(short, x - 0.01).otherwise(x)))
 
 
 def _two(x: Column) -> Column:
@@ -112,13 +106,15 @@ def _clock(ms: Column, point: str) -> Column:
 
 
 def timestamp_label(sec: Column | str) -> Column:
-    """``HH:MM:SS.mmm``: rounded to ms first, negative times as zero."""
-    return _clock(F.greatest(F.lit(0).cast("long"), round_half_up(col(sec) * 1000)), ".")
+    """``HH:MM:SS.mmm``: rounded to ms first, negative times as zero, null as null."""
+    ms = round_half_up(col(sec) * 1000)
+    return _clock(F.when(ms < 0, F.lit(0).cast("long")).otherwise(ms), ".")
 
 
 def srt_timestamp(ms: Column | str) -> Column:
-    """``HH:MM:SS,mmm`` of rounded milliseconds; 999.6 ms is the next second."""
-    return _clock(F.greatest(F.lit(0).cast("long"), round_half_up(ms)), ",")
+    """``HH:MM:SS,mmm`` of rounded milliseconds; 999.6 ms is the next second, null is null."""
+    ms = round_half_up(ms)
+    return _clock(F.when(ms < 0, F.lit(0).cast("long")).otherwise(ms), ",")
 
 
 def duration_label(sec: Column | str) -> Column:

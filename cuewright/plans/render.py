@@ -34,14 +34,16 @@ def json_entry(start: Column | str = "start_ms", end: Column | str = "end_ms", t
     )
 
 
-def join_lines(df: DataFrame, entity: str, order: str, line: str, glue: str, most: int, head: str = "", foot: str = "", numbered: bool = False, block: int = BLOCK_LINES, utf16: bool = True) -> DataFrame:
+def join_lines(df: DataFrame, entity: str, order: str, line: str, glue: str, most: int, head: str = "", foot: str = "", numbered: bool = False, block: int = BLOCK_LINES, utf16: bool = True, whole: bool = True) -> DataFrame:
     """Lines of each entity, in order, as one text of at most ``most`` characters but for the mark where the middle is cut.
 
     ``entity, n_lines, text``.  Lines are measured in blocks of positions first; only blocks
     that reach into the first or last ``most`` characters are collected, so an
     entity with any number of lines costs no more than the text it makes.
     ``numbered`` puts the running number and a line feed before each line.
-    Lengths are in UTF-16 units, or code points.
+    Lengths are in UTF-16 units, or code points.  Without ``whole`` the result is
+    ``entity, n_lines, a, b, n``: as much of the beginning and of the end as may be
+    needed, and the length of it all, for a cut that is decided later.
     """
     measure = utf16_length if utf16 else F.length
     rows = df.where(F.col(line).isNotNull()).select(F.col(entity).alias("e"), F.col(order).cast("long").alias("o"), F.col(line).alias("line")).withColumn("k", F.floor(F.col("o") / block))
@@ -78,12 +80,14 @@ def join_lines(df: DataFrame, entity: str, order: str, line: str, glue: str, mos
     extra = sum((F.greatest(F.lit(0).cast("long"), F.col("n_lines") - (10**d - 1)) for d in range(1, digits)), F.col("n_lines") * 2) if numbered else F.lit(0)
     total = F.col("total") - len(glue) + len(head) + len(foot) + extra
     texts = grouped.select(F.col("e").alias(entity), "n_lines", F.concat(F.lit(head), joined("first")).alias("a"), F.concat(joined("last"), F.lit(foot)).alias("b"), total.cast("long").alias("n"))
-    whole = F.when(F.col("n") <= most, F.concat("a", F.lit(foot)))
+    if not whole:
+        return texts
+    uncut = F.when(F.col("n") <= most, F.concat("a", F.lit(foot)))
     if utf16:
-        return texts.select(entity, "n_lines", F.coalesce(whole, cut_middle("a", "b", "n", F.lit(most))).alias("text"))
+        return texts.select(entity, "n_lines", F.coalesce(uncut, cut_middle("a", "b", "n", F.lit(most))).alias("text"))
     keep = most * 6 // 10
     cut = F.concat(F.substring("a", 1, keep), F.lit(CUT_MARK), F.right("b", F.lit(most - keep)))
-    return texts.select(entity, "n_lines", F.coalesce(whole, cut).alias("text"))
+    return texts.select(entity, "n_lines", F.coalesce(uncut, cut).alias("text"))
 
 
 def transcripts(segments: DataFrame, kind: str = "text", most: int = 32_000, entity: str = "media_id", position: str = "seg_idx", utf16: bool = True) -> DataFrame:

@@ -47,3 +47,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the workers, once per application, if it isn't installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    name = __name__.partition(".")[0]
+
+    def missing(_: int) -> bool:
+        import importlib.util
+
+        return importlib.util.find_spec(name) is None
+
+    missing.__module__ = "__main__"  # pickled by value: the package can't be imported there yet
+    if context.parallelize([0], 1).map(missing).first():
+        import shutil
+
+        folder = tempfile.mkdtemp(prefix=name)
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        context.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", root, name))
+    _shipped.add(context.applicationId)
