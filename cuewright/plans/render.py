@@ -190,7 +190,7 @@ def cli_line() -> Column:
 def no_speech(start_sec: float | None = None, end_sec: float | None = None) -> str:
     """What stands for a transcript without segments."""
     number = lambda x: f"{x:g}" if x == int(x) else repr(x)
-    window = "" if start_sec is None and end_sec is None else f" in the requested window ({number(start_sec or 0)}s–{'end' if end_sec is None else number(end_sec)}s)"
+    window = "" if start_sec is None and end_sec is None else f" in the requested window ({number(start_sec or 0)}s–{'end' if end_sec is None else number(end_sec)})"
     return f"No speech detected{window}."
 
 
