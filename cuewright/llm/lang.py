@@ -36,9 +36,10 @@ SAMPLE = 150
 LEAST_GRAMS = 8
 #: Lead, as a share of the n-grams and in n-grams, that a decision needs.
 LEAD, LEAD_GRAMS = 0.06, 2.5
+#: An n-gram rarer than this in a language isn't of it.
+RARE = 2e-5
 #: Places of a filter and hash functions.
 _BITS, _HASHES = 20, (np.uint32(2654435761), np.uint32(2246822519))
-_SENTENCES = 3
 
 #: Common function words of each language.
 FUNCTION_WORDS = {
@@ -227,20 +228,22 @@ def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str
 def fit_texts(texts: list[str], rounds: int = 3) -> Filters:
     """Filters from unlabelled texts: function words label sentences first, then the filters do.
 
-    Languages count with the same number of n-grams each.  Capitalised words are
-    kept only where they are of one language: names are of none.
+    What counts is how frequent an n-gram is within a language, so languages
+    needn't have samples of one size.  Capitalised words are kept only where they
+    are of one language: names are of none.
     """
     words = [set(FUNCTION_WORDS[l].split()) for l in LANGUAGES]
     seeds = [np.unique(np.concatenate([_grams(np.frombuffer(f" {w} ".encode(), np.uint8))[0][:-1] for w in FUNCTION_WORDS[l].split()])) for l in LANGUAGES]
-    said = [s for text in texts for s in _SENTENCE.split(_BRACKETED.sub(" ", text)) if len(s) > 20]
-    labels = np.array([_by_function_words(s.lower().split(), words) for s in said], np.int64)
+    parts = [(k, s) for k, text in enumerate(texts) for s in _SENTENCE.split(_BRACKETED.sub(" ", text)) if len(s) > 10]
+    said, owner = [s for _, s in parts], np.array([k for k, _ in parts], np.int64)
+    labels = _with_neighbours(np.array([_by_function_words(s.lower().split(), words) for s in said], np.int64), owner)
     filters = Filters.build(seeds)
     whole = next(slices(_lower(pa.array(["\n\n".join(said)], pa.string())))) if said else None
     for _ in range(rounds if said else 0):
         filters = _refit(said, labels, seeds)
         sizes = np.array([len(s.lower().encode()) + 2 for s in said])
         cuts = np.minimum(np.cumsum(sizes) - sizes, len(whole.data) - 1)
-        labels = decide(*filters.shares(whole.data, cuts))[0]
+        labels = _with_neighbours(decide(*filters.shares(whole.data, cuts))[0], owner)
     return filters
 
 
@@ -249,6 +252,17 @@ _BRACKETED = re.compile(r"\([^()]{0,200}\)|\[[^\[\]]{0,200}\]|[\w .,]{0,50}:(?=\
 _CAPITALISED = re.compile(r"\b[^\W\d_a-zà-ÿąćęłńóśźż][^\W\d_]*")
 
 
+def _with_neighbours(labels: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sentences that nothing decides take the language of their text, if it is nearly all in one."""
+    if not len(labels):
+        return labels
+    counts = np.zeros((owner.max() + 1, len(LANGUAGES)))
+    np.add.at(counts, (owner[labels >= 0], labels[labels >= 0]), 1)
+    total = counts.sum(axis=1)
+    clear = np.where((total >= 2) & (counts.max(axis=1) >= 0.9 * total), counts.argmax(axis=1), -1)
+    return np.where(labels >= 0, labels, clear[owner])
+
+
 def _by_function_words(said: list[str], words: list[set[str]]) -> int:
     hits = sorted(((sum(w.strip(".,;:!?") in known for w in said), l) for l, known in enumerate(words)), reverse=True)
     return hits[0][1] if hits[0][0] >= 2 and hits[0][0] >= hits[1][0] + 2 else -1
@@ -266,13 +280,11 @@ def _refit(said: list[str], labels: np.ndarray, seeds: list[np.ndarray]) -> Filt
         text = "\n".join(_CAPITALISED.sub(lambda m: m[0] if m[0] in own else "\n", s) if not s.isupper() else "" for s, k in zip(said, labels.tolist()) if k == l)
         grams, good = _grams(np.frombuffer(text.lower().encode(), np.uint8))
         keys.append(grams[good])
-    least = max(2000, sorted(len(k) for k in keys)[len(keys) // 2])
-    keys = [k[:least] for k in keys]
     everything = np.unique(np.concatenate(keys))
     many = np.array([np.bincount(np.searchsorted(everything, k), minlength=len(everything)) for k in keys])
     rate = many / np.maximum(many.sum(axis=1, keepdims=True), 1)
     # A gram belongs to the languages in which it is not much rarer than where it is most common.
-    belongs = (rate >= 0.08 * rate.max(axis=0)) & (many >= 2)
+    belongs = (rate >= np.maximum(0.08 * rate.max(axis=0), RARE)) & (many >= 2)
     return Filters.build([np.union1d(everything[b], seed) for b, seed in zip(belongs, seeds)])
 
 
