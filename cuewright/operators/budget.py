@@ -61,16 +61,36 @@ def append_if_fits(content: Column, item: Column, most: Column | int) -> Column:
     return F.when(payload_length(grown) <= most, grown).otherwise(content)
 
 
-def running_length(df: DataFrame, entity: str, order: str, length: str, used: int = FRAME) -> DataFrame:
-    """Adds ``running``: the payload's length with the items of an entity up to this one (``used``: what is there before)."""
-    by = Window.partitionBy(entity).orderBy(order)
-    commas = F.row_number().over(by) - (1 if used == FRAME else 0)
-    return df.withColumn("running", F.lit(used) + F.sum(length).over(by.rowsBetween(Window.unboundedPreceding, 0)) + commas)
-
-
-def prefix_that_fits(df: DataFrame, entity: str, order: str, length: str, most: int, used: int = FRAME) -> DataFrame:
+def _placed(df: DataFrame, entity: str, order: str, length: str, used: int, most: int | None, block: int) -> DataFrame:
+    """Running lengths in two levels: sums of blocks of positions, then inside each block.
+
+    No task orders more than a block of an entity's items; blocks that begin
+    beyond ``most`` aren't looked at.
+    """
+    first = 1 if used == FRAME else 0  # the first item of an empty payload has no comma
+    keyed = df.withColumn("_k", F.floor(F.col(order) / block))
+    by = Window.partitionBy(entity).orderBy("_k")
+    sums = keyed.groupBy(entity, "_k").agg((F.sum(length) + F.count(F.lit(1))).alias("_sum"))
+    before = sums.select(F.col(entity).alias("_e"), F.col("_k").alias("_b"), F.coalesce(F.sum("_sum").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    if most is not None:
+        before = before.where(F.col("_before") + used - first <= most)
+    joined = keyed.join(before, F.col(entity).eqNullSafe(F.col("_e")) & (F.col("_k") == F.col("_b")))
+    inside = Window.partitionBy(entity, "_k").orderBy(order)
+    upto = F.sum(F.col(length) + 1).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn("running", (F.col("_before") + upto + used - first).cast("long")).drop("_e", "_b", "_k", "_before")
+
+
+def running_length(df: DataFrame, entity: str, order: str, length: str, used: int = FRAME, block: int = 4096) -> DataFrame:
+    """Adds ``running``: the payload's length with the items of an entity up to this one (``used``: what is there before).
+
+    ``order`` is a whole number; rows without one have no place and are left out.
+    """
+    return _placed(df, entity, order, length, used, None, block)
+
+
+def prefix_that_fits(df: DataFrame, entity: str, order: str, length: str, most: int, used: int = FRAME, block: int = 4096) -> DataFrame:
     """Items up to the first that doesn't fit; lengths are positive, so this is a filter on the running sum."""
-    return running_length(df, entity, order, length, used).where(F.col("running") <= most)
+    return _placed(df, entity, order, length, used, most, block).where(F.col("running") <= most)
 
 
 def all_or_error(df: DataFrame, entity: str, order: str, length: str, most: int, used: int = FRAME) -> DataFrame:

@@ -53,6 +53,13 @@ class Fallback:
         return self.providers[-1].frame(path, at_sec)
 
 
+def ready(provider: object) -> None:
+    """``FFMPEG_NOT_FOUND`` if a provider says that what it needs isn't installed."""
+    available = getattr(provider, "available", None)
+    if available is not None and not available():
+        raise MediaError("FFMPEG_NOT_FOUND", f"{type(provider).__name__} isn't available here")
+
+
 def _label(sec: float) -> str:
     ms = max(0, int(np.floor(sec * 1000 + 0.5)))
     return f"{ms // 3_600_000:02d}:{ms % 3_600_000 // 60_000:02d}:{ms % 60_000 // 1000:02d}.{ms % 1000:03d}"
@@ -91,6 +98,7 @@ def grid_images(plans: DataFrame, provider: FrameProvider | None = None, aspect_
                 picture, bad = None, row.error
                 if bad is None:
                     try:
+                        ready(provider)
                         found = [_one_frame(provider, row.path, t, row.duration_sec) for t in row.timestamps_sec]
                         picture = images.encode_jpeg(images.shrink(images.compose(found, int(row.n_cols), int(row.thumb_width), aspect_mode), most_width), QUALITY["q75"])
                     except Exception as failed:  # noqa: BLE001
@@ -118,6 +126,7 @@ def frame_images(targets: DataFrame, provider: FrameProvider | None = None, most
                 try:
                     if row.timestamp_sec is None or not row.timestamp_sec >= 0:
                         raise MediaError("FRAME_FAILED", "a time must not be negative")
+                    ready(provider)
                     picture = images.encode_jpeg(images.shrink(_one_frame(provider, row.path, row.timestamp_sec, row.duration_sec), most_width), QUALITY["q75"])
                 except Exception as failed:  # noqa: BLE001
                     bad = _problem(failed, "FRAME_FAILED")

@@ -176,6 +176,8 @@ def get_video_grids(spark: SparkSession, path: str, options: GridOptions | None
     opts = options or GridOptions()
     medium = _probed(spark, _local(path, cache, fetcher), "get_video_grids")
     rows = _grids(medium, opts, provider)
+    if not rows:
+        return [_text("No grid frames found: shorten the window, or ask for shorter spans.")]
     answer = Answer(max_total_chars if max_total_chars is not None else o.DEFAULT_TOTAL_CHARS)
     answer.text(f"Extracted {len(rows)} timestamped grid image(s).", force=True)
     for k, row in enumerate(rows):

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from cuewright.functions.text import CUT_MARK, col, cut_middle, fixed1, round_half_up, short_duration, size_label, srt_timestamp, strip, timestamp_label, to_fixed, utf16_length
 
+#: Wording of labels that other programs read.
+SAMPLING_NOTE = " grid image(s), each tile has an exact timestamp overlay."
+LAYOUT_NOTE = "Output format: transcript segments are interleaved with their corresponding visual grids by time alignment."
+NO_SPEECH = "No speech detected"
 #: Lines of an entity that are summed together before a total is known.
 BLOCK_LINES = 1024
 
@@ -149,8 +153,8 @@ def understand_block(n_grids: Column | str) -> Column:
         line("Sample rate: ", some("sample_rate"), "Hz"),
         line("Channels: ", some("channels")),
         line("Size: ", F.col("file_size_bytes"), " bytes"),
-        F.when(has, F.concat(F.lit("Video sampling: "), n_grids.cast("string"), F.lit(" grid image(s), each tile has an exact timestamp overlay."))),
-        F.when(has, F.lit("Output format: transcript segments are interleaved with their corresponding visual grids by time alignment.")),
+        F.when(has, F.concat(F.lit("Video sampling: "), n_grids.cast("string"), F.lit(SAMPLING_NOTE))),
+        F.when(has, F.lit(LAYOUT_NOTE)),
     )
 
 
@@ -191,7 +195,7 @@ def no_speech(start_sec: float | None = None, end_sec: float | None = None) -> s
     """What stands for a transcript without segments."""
     number = lambda x: f"{x:g}" if x == int(x) else repr(x)
     window = "" if start_sec is None and end_sec is None else f" in the requested window ({number(start_sec or 0)}s–{'end' if end_sec is None else number(end_sec)})"
-    return f"No speech detected{window}."
+    return f"{NO_SPEECH}{window}."
 
 
 def video_report(subtitles: Column | str | None = None) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.errors import ERROR, MediaError
+from cuewright.operators.frames import ready
 from cuewright.options import DEFAULT_MODEL
 from cuewright.sources.files import file_fingerprint
 
@@ -99,6 +100,7 @@ def transcribe(files: DataFrame, transcriber: Transcriber | None = None, model:
                 try:
                     if row.fingerprint is None:
                         raise MediaError("FILE_NOT_FOUND", f"no such file: {row.p}")
+                    ready(transcriber)
                     found = [{"turn": None, **s} for s in transcriber.segments(row.p, model)]
                     out.append((row.k, row.p, row.fingerprint, found, None))
                 except MediaError as bad:
