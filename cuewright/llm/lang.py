@@ -32,6 +32,8 @@ from cuewright.functions.textvec import SLICE_BYTES, Slice, as_strings, slices
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl")
 #: Documents per label (and as many without a usable one) that the filters are fitted on.
 SAMPLE = 150
+#: Characters of such a document that are fitted on.
+SAMPLE_CHARS = 20_000
 #: Sentences with fewer n-grams than this are too short to decide alone.
 LEAST_GRAMS = 8
 #: Lead, as a share of the n-grams and in n-grams, that a decision needs.
@@ -206,8 +208,10 @@ def _lower(column: pa.Array) -> pa.Array:
 # ---------------------------------------------------------------- fitting
 
 
-def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = SAMPLE, rounds: int = 3) -> Filters:
-    """Filters for ``LANGUAGES``, fitted on at most ``per_label`` documents of each label.
+def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = SAMPLE, per_text: int = SAMPLE_CHARS, rounds: int = 3) -> Filters:
+    """Filters for ``LANGUAGES``, fitted on at most ``per_label`` documents of each label and ``per_text`` characters of each.
+
+    This bounds only what is fitted on; ``document_languages`` reads whole texts.
 
     The documents of a label (and those with none) that come first by a hash of
     their key are the sample, so it is the same whatever the partitioning; one
@@ -216,7 +220,7 @@ def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str
     named = F.coalesce(named_language(F.col(label)), F.lit("")).alias("named")
     order = Window.partitionBy("named").orderBy(F.xxhash64("key"), "text")
     picked = (
-        documents.select(F.col(key).cast("string").alias("key"), F.substring(F.col(text), 1, 20_000).alias("text"), named)
+        documents.select(F.col(key).cast("string").alias("key"), F.substring(F.col(text), 1, per_text).alias("text"), named)
         .where(F.length("text") > 40)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_label)
