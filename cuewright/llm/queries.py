@@ -15,20 +15,28 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def _pieces(spark: SparkSession, folder: str, only_cut: bool) -> DataFrame:
     limits = split.limits(_table(spark, folder, "split_limits"))
 
     def cut(kind: str, table: str, keys: list[str], text: str, version: str) -> DataFrame:
-        limit, overlap = limits[kind]
-        # Only texts above the limit travel to where the current version is chosen.
-        rows = _table(spark, folder, table).select(*keys, F.when(F.length(text) > limit, F.col(text)).alias("text"), version)
-        current = latest(rows, keys, version)
-        return split.split_texts(current, keys, "text", limit, overlap).where("n_pieces > 1 AND piece = 0").withColumn("item_kind", F.lit(kind))
+        limit, overlap = limits.get(kind, split.UNLIMITED)
+        # If only texts above the limit are asked for, only they travel to where the current version is chosen.
+        kept = F.when(F.length(text) > limit, F.col(text)) if only_cut else F.col(text)
+        current = latest(_table(spark, folder, table).select(*keys, kept.alias("text"), version), keys, version)
+        return split.split_texts(current, keys, "text", limit, overlap).withColumn("item_kind", F.lit(kind))
 
     segments = cut("segment", "segments", ["media_id", "seg_idx"], "text", "ingested_at")
     transcripts = cut("transcript", "understand_results", ["media_id"], "transcript", "created_at").withColumn("seg_idx", F.lit(-1))
-    columns = ["item_kind", "media_id", "seg_idx"]
-    return segments.select(columns).unionByName(transcripts.select(columns))
+    return segments.unionByName(transcripts)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, True).where("n_pieces > 1 AND piece = 0").select("item_kind", "media_id", "seg_idx")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All current texts as pieces a model context can take."""
+    return _pieces(spark, folder, False).select("item_kind", "media_id", "seg_idx", "piece", "n_pieces", "begin", "end", "text")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,15 +74,31 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return in_documents.unionByName(in_segments).unionByName(in_videos)
 
 
+def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document and of its parts, with confidences."""
+    documents = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return lang.document_languages(documents, lang.fit(documents)).select("doc_id", "detected", "confidence", "parts")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse(_table(spark, folder, "segments"), least=2).select("media_id", "first_seg_idx", "last_seg_idx")
 
 
+def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All segments with runs collapsed: count, start, end and duration of each event."""
+    return runs.collapse(_table(spark, folder, "segments"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     found = turns.speaker_turns(_table(spark, folder, "segments"), _table(spark, folder, "speakers"))
     return found.where("opened_by IN ('label', 'flag')").select("media_id", "seg_idx", "speaker_id")
 
 
+def p5_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean speaker turns of every medium."""
+    return turns.speaker_turns(_table(spark, folder, "segments"), _table(spark, folder, "speakers"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_table(spark, folder, "documents"))
 
@@ -92,9 +116,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
     "p3_found": p3_found,
+    "p3_languages": p3_languages,
     "p4_found": p4_found,
+    "p4_runs": p4_runs,
     "p5_found": p5_found,
+    "p5_turns": p5_turns,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,

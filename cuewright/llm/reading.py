@@ -366,11 +366,11 @@ def fit_texts(texts: list[str], levels: list[int], corpus: Corpus) -> Model:
 MAX_PASSAGES = 20_000
 
 
-def fit(passages: DataFrame, documents: DataFrame, text: str = "text", level: str = "reading_level") -> Model:
-    """Fit on at most ``MAX_PASSAGES`` graded passages, and word counts of all documents."""
+def fit(passages: DataFrame, documents: DataFrame, text: str = "text", level: str = "reading_level") -> Model | None:
+    """Fit on at most ``MAX_PASSAGES`` graded passages, and word counts of all documents; None without any passage."""
     rows = passages.select(F.col(text).alias("text"), F.col(level).alias("level")).where("text IS NOT NULL AND level IS NOT NULL").orderBy(F.xxhash64("text"), "text", "level").limit(MAX_PASSAGES).collect()
     if not rows:
-        raise ValueError("no graded passages to fit on")
+        return None
     return fit_texts([r["text"] for r in rows], [r["level"] for r in rows], corpus_counts(documents))
 
 
@@ -392,15 +392,18 @@ def _levels(batches: Iterator[pa.RecordBatch], model: Model, filters: Filters, n
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part.first + use)), pa.array(model.levels(features[use]).astype(np.int32))], names=names)
 
 
-def reading_levels(documents: DataFrame, model: Model, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
+def reading_levels(documents: DataFrame, model: Model | None, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, reading_level`` of each English document of at least 100 words that isn't mixed.
 
     Text in brackets (interruptions, notes) doesn't count for the level.  Null,
     empty and short texts, and those in other or several languages, have no row;
     a null key stays null; repeated rows repeat; an empty table gives an empty
-    result; further columns aren't read.  Narrow: no shuffle.
+    result, and so does a model fitted on nothing; further columns aren't read.
+    Narrow: no shuffle.
     """
     schema = T.StructType([T.StructField("key", documents.schema[key].dataType), T.StructField("reading_level", T.IntegerType())])
+    if model is None:
+        return documents.sparkSession.createDataFrame([], schema).withColumnRenamed("key", key)
     shared = documents.sparkSession.sparkContext.broadcast((model, filters))
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _levels(it, *shared.value, schema.fieldNames()), schema).withColumnRenamed("key", key)

@@ -127,8 +127,17 @@ def split_texts(df: DataFrame, keys: list[str], text: str, limit: int, overlap:
 
 
 def limits(table: DataFrame, most: int = 1000) -> dict[str, tuple[int, int]]:
-    """Limit and overlap of each kind of item from the small table of limits (at most ``most`` rows)."""
+    """Limit and overlap of each kind of item from the small table of limits (at most ``most`` rows).
+
+    Rows without a kind or a limit set none; a null overlap is none; of several
+    limits for a kind the lowest holds.
+    """
     rows = table.select("item_kind", "max_chars", "overlap_chars").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} kinds of items")
-    return {r["item_kind"]: (r["max_chars"], r["overlap_chars"]) for r in rows}
+    found = sorted(((r["item_kind"], r["max_chars"], r["overlap_chars"] or 0) for r in rows if r["item_kind"] is not None and r["max_chars"] is not None), reverse=True)
+    return {kind: (limit, overlap) for kind, limit, overlap in found}
+
+
+#: The limit of a kind that has none.
+UNLIMITED = ((1 << 31) - 1, 0)

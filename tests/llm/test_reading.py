@@ -40,6 +40,8 @@ def test_levels_of_new_texts(spark):
     assert len(levels) == 91 and sum(v == k % 3 + 1 for k, v in levels) / 91 > 0.9
     assert not {200, 201, 202, 203} & {k for k, _ in found} and (204, 1) in found and any(k is None for k, _ in found)
     assert reading.reading_levels(documents.limit(0), model, filters).count() == 0
+    nothing = reading.fit(passages.limit(0), documents)
+    assert nothing is None and reading.reading_levels(documents, nothing, filters).count() == 0
 
 
 def test_calls_and_notes_change_nothing():

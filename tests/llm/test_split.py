@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuewright.llm.split import spans, split_texts
+from cuewright.llm.split import limits, spans, split_texts
 
 
 @settings(max_examples=300, deadline=None)
@@ -54,6 +54,14 @@ def test_impossible_limits(spark, limit, overlap):
         split_texts(spark.createDataFrame([("a", "b")], "id string, text string"), ["id"], "text", limit, overlap)
 
 
+def test_limits(spark):
+    rows = [("segment", 400, 60), ("segment", 300, 50), ("transcript", 10, None), (None, 5, 1), ("other", None, 1)]
+    table = spark.createDataFrame(rows, "item_kind string, max_chars int, overlap_chars int")
+    assert limits(table) == {"segment": (300, 50), "transcript": (10, 0)} and limits(table.limit(0)) == {}
+    with pytest.raises(ValueError):
+        limits(table, most=4)
+
+
 def test_very_long_text():
     rng = random.Random(1)
     text = "".join(rng.choice(["word ", "end. ", "x, "]) for _ in range(200_000))
