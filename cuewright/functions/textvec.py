@@ -154,3 +154,14 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     ends = np.cumsum(counts)
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
+
+
+def new_rows(part: Slice, seen: set[int]) -> np.ndarray:
+    """Which rows of a slice are texts that aren't in ``seen`` yet; adds them. Repeated texts count once this way."""
+    hashes = span_hash(part.data, part.offsets[:-1], part.offsets[1:])
+    fresh = np.zeros(part.rows, bool)
+    for k, h in enumerate(hashes.tolist()):
+        if h not in seen:
+            seen.add(h)
+            fresh[k] = True
+    return fresh
