@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.functions.textvec import Slice, fold, slices, span_hash, words
+from cuewright.functions.textvec import Slice, fold, new_rows, slices, span_hash, words
 from cuewright.llm.lang import Filters, _asides, decide, sentences
 
 #: Documents of fewer words have no level.
@@ -104,6 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[list[np.ndarray]] = [[], []]
     counts: list[list[np.ndarray]] = [[], []]
     documents = 0
+    seen: set[int] = set()
 
     def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
         if not kept[kind]:
@@ -130,14 +131,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(fold(batch.column(0))):
             found = words(part)
             ends = _sentence_ends(part.data, np.ones(len(part.data), bool))
-            _, n, sentence = _sentence_keys(found.row, np.searchsorted(ends, found.start, "right"), found.hash)
-            for kind, values in ((0, found.hash), (1, sentence[n >= USUAL_WORDS])):
+            at, n, sentence = _sentence_keys(found.row, np.searchsorted(ends, found.start, "right"), found.hash)
+            fresh = new_rows(part, seen)[found.row[at]]  # a speech that is there many times makes no formula of its sentences
+            for kind, values in ((0, found.hash), (1, sentence[(n >= USUAL_WORDS) & fresh])):
                 keys, n_keys = np.unique(values, return_counts=True)
                 kept[kind].append(keys)
                 counts[kind].append(n_keys)
         if sum(len(k) for own in kept for k in own) > 1 << 20 and sum(len(merged(kind)[0]) for kind in (0, 1)) > 1 << 19:
             yield from settled()
             documents = 0
+            seen.clear()
     yield from settled()
 
 
