@@ -80,13 +80,23 @@ def misspelt(a: str, b: str) -> bool:
     return not (long == short + "s")
 
 
+def _both_misspelt(a: str, b: str) -> bool:
+    """Whether two long words are each one slip from the same word."""
+    if min(len(a), len(b)) < 6 or abs(len(a) - len(b)) > 2 or not (a.isalpha() and b.isalpha()):
+        return False
+    shorter = {a[:i] + a[i + 1 :] for i in range(len(a))}
+    swapped = {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
+    longer = {a[:i] + c + a[i:] for i in range(len(a) + 1) for c in set(b)}
+    return any(misspelt(w, b) and misspelt(w, a) for w in shorter | swapped | longer)
+
+
 def alike(a: str, b: str) -> bool:
-    """Whether two canonical texts say the same but for misspelt words (at most one in each) and repeated words."""
+    """Whether two canonical texts say the same but for a misspelt word in each and repeated words."""
     if a == b:
         return True
-    if len(a) > 12 and len(b) > 12 and a[:4] != b[:4] and a[-4:] != b[-4:]:
-        return False
     if abs(len(a) - len(b)) > 2:
+        if len(a) > 12 and len(b) > 12 and a[:4] != b[:4] and a[-4:] != b[-4:]:
+            return False
         a, b = _REPEATED.sub(r"\1", a), _REPEATED.sub(r"\1", b)
         if abs(len(a) - len(b)) > 2:
             return a == b
@@ -96,7 +106,9 @@ def alike(a: str, b: str) -> bool:
         if len(x) != len(y):
             return False
     other = [(u, v) for u, v in zip(x, y) if u != v]
-    return len(other) <= 2 and all(misspelt(u, v) for u, v in other)
+    if len(other) > 2:
+        return False
+    return all(misspelt(u, v) for u, v in other) or (len(other) == 1 and len(x) > 2 and _both_misspelt(*other[0]))
 
 
 _BLANKS = re.compile(r"[^\S\x01]+")

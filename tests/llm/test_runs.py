@@ -23,7 +23,7 @@ def found(spark, data, **options):
     [
         ("Thank you.", "thank  you", True), ("Uh, yes.", "YES!", True), ("[00:01:02] Hear, hear.", "Hear hear (coughs)", True), ("What abuot it?", "What about it?", True),
         ("You know, we can.", "We can.", True), ("Thaank you", "Thank you", True), ("Item 9 was withdrawn.", "Item 10 was withdrawn.", False), ("The wall is wet.", "The well is wet.", False),
-        ("[applause]", "(Applause.)", True), ("[applause]", "[laughter]", False), ("♪ ♪", "♪", True), ("Cars stop.", "Car stop.", False), ("No.", "Yes.", False), ("12:30 Go on.", "Go on.", True), ("At 10:45 we left", "At 10:46 we left", False),
+        ("[applause]", "(Applause.)", True), ("[applause]", "[laughter]", False), ("♪ ♪", "♪", True), ("Cars stop.", "Car stop.", False), ("No.", "Yes.", False), ("12:30 Go on.", "Go on.", True), ("At 10:45 we left", "At 10:46 we left", False), ("Plase take your seats.", "Please take your sets.", True), ("Back on air shorttly.", "Back on air shotly.", True),
     ],
 )
 def test_what_says_the_same(a, b, same):
