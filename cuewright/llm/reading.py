@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from cuewright.functions.textvec import Slice, fold, new_rows, slices, span_hash, words
 from cuewright.llm.lang import Filters, _asides, decide, sentences
 
-#: Documents of fewer words have no level.
+#: Documents of fewer words, as blanks part them, have no level.
 LEAST_WORDS = 100
 #: Words with at least this share of all words of the corpus are known by their counts.
 COMMON = 2e-5
@@ -213,7 +213,11 @@ class Measures:
         data, rows = part.data, part.rows
         outside = ~(_asides(data) | _calls(data))
         found = words(part)
-        all_words = np.bincount(found.row, minlength=rows)
+        written = data > 32
+        opens = written.copy()
+        opens[1:] &= ~written[:-1]
+        opens[part.offsets[:-1][part.offsets[:-1] < len(data)]] = written[part.offsets[:-1][part.offsets[:-1] < len(data)]]
+        all_words = np.bincount(np.searchsorted(part.offsets, np.flatnonzero(opens), "right") - 1, minlength=rows)
         use = (data[found.start] > 57) & outside[found.start]  # numbers tell nothing
         at_end = _sentence_ends(data, outside)
         sentence = np.searchsorted(at_end, found.start, "right")
