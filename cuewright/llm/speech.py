@@ -23,8 +23,9 @@ TIME_STAMP = re.compile(r"[\[(<]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\
 _sound = "|".join(sorted(SOUND_WORDS, key=len, reverse=True))
 SOUND_NOTE = re.compile(rf"\[[^\[\]\x01]*\]|\(\s*(?:(?:{_sound})[\s.!,]*)+\)|\*[^*\x01]+\*|<[^<>\x01]*>|[♪♫🎵🎶]", re.I)
 _longest = sorted(FILLERS, key=len, reverse=True)
+_first = "".join(sorted({f[0] for f in FILLERS + DOUBTFUL_FILLERS}))  # told from other words by one character first
 FILLER = re.compile(
-    r"\b(?:" + "|".join(re.escape(f) for f in _longest) + r")\b(?:\s*(?:,|\.\.\.|…))?|\b(?:" + "|".join(DOUBTFUL_FILLERS) + r")\b(?=\s*(?:,|\.\.\.|…))",
+    rf"\b(?=[{_first}])(?:(?:" + "|".join(re.escape(f) for f in _longest) + r")\b(?:\s*(?:,|\.\.\.|…))?|(?:" + "|".join(DOUBTFUL_FILLERS) + r")\b(?=\s*(?:,|\.\.\.|…)))",
     re.I,
 )
 _NO_WORD = re.compile(r"[^\w\x01]+")

@@ -168,6 +168,28 @@ class _Part:
 _CARRY, _PENDING, _SETTLED, _SUMMARY = range(4)
 
 
+#: Words that are looked back at, and characters that hold them.
+_KEPT, _TAIL = 40, 400
+_MARKS = str.maketrans("", "", ".,;:!?")
+
+
+def _repeated(before: str, plain: str, speech: str) -> int:
+    """How many words of a speech (in plain words: without case and marks) repeat the end of what was said before."""
+    head = plain.split(None, 3)[:3]
+    if len(head) < 3 or " ".join(head) not in before:
+        return 0
+    cut = _overlap(before.split()[-_KEPT:], plain.split()[:_KEPT])
+    words = plain.split()
+    if cut and len(words) != len(speech.split()):  # lone marks among the words: they go with what they follow
+        done = 0
+        for k, word in enumerate(speech.split()):
+            done += bool(word.translate(_MARKS))
+            if done > cut:
+                return k
+        return len(speech.split())
+    return cut
+
+
 def _overlap(before: list[str], words: list[str]) -> int:
     """How many words a segment repeats from the end of what was said (at least three)."""
     if len(words) < 3 or len(before) < 3:
@@ -188,7 +210,7 @@ def _block(rows: list[tuple], people: Speakers, pause_ms: float | None) -> list[
             texts.append(text[cuts[k] : cuts[k + 1]])
             places.append((row, labels[k // 2 - 1][2] if k else None, len(labels)))
     parts: list[_Part] = []
-    holder, events, reach, said, now = None, 0, -np.inf, [], None
+    holder, events, reach, said, now = None, 0, -np.inf, "", None
     starts, ends = (np.array([r[c] for r in rows], float) for c in (1, 2))
     limit = pause_ms if pause_ms is not None else _usual_pause(starts, ends, np.zeros(len(rows), bool))
     row_before, pos = -1, 0
@@ -213,11 +235,12 @@ def _block(rows: list[tuple], people: Speakers, pause_ms: float | None) -> list[
         if first_of_row and end == end:
             reach = max(reach, end)
         if speech and now is not None:
-            words = speech.split()
-            plain = [w.casefold().strip(".,;:!?") for w in words]
-            cut = _overlap(said, plain)
-            said = (said + plain)[-40:] if cut < len(plain) else said
-            now.texts += words[cut:]
+            plain = speech.casefold().translate(_MARKS)
+            cut = _repeated(said, plain, speech)
+            fresh = " ".join(speech.split()[cut:]) if cut else speech
+            if fresh:
+                said = " ".join(f"{said} {plain}".split()[-_KEPT:]) if cut else f"{said} {plain}"[-_TAIL:]
+            now.texts.append(fresh)
             now.end = np.fmax(now.end, end)
     parts.append(_Part(_SUMMARY, "", holder if events else None, rows[-1][0], 1 << 20, float("nan")))
     return parts
@@ -246,7 +269,7 @@ def _parts(batches: Iterator[pa.RecordBatch], names: list[str], people: list[dic
             pa.array([p.pos for p in out], pa.int32()),
             pa.array([_ms(p.start) for p in out], pa.float64()),
             pa.array([_ms(p.end) for p in out], pa.float64()),
-            pa.array([" ".join(p.texts) for p in out], pa.string()),
+            pa.array([" ".join(t for t in p.texts if t) for p in out], pa.string()),
         ]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
