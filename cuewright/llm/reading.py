@@ -53,7 +53,7 @@ WINDOW = 12
 LOST = 75
 
 
-_CALL = re.compile(rb"(?:(?<=\n)|^)[^\n:]{2,50}: [^\n]{0,60}[.!?](?=\n|$)")
+_CALL = re.compile(rb"\n[^\n:]{2,50}: [^\n]{0,60}[.!?](?=\n|$)")
 
 
 def _calls(data: np.ndarray) -> np.ndarray:
