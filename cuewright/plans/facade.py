@@ -26,6 +26,11 @@ from cuewright.sources.asr import Transcriber
 from cuewright.sources.urls import Fetcher
 
 
+# Wording of answers, which clients read.
+EXTRACTED = "Extracted {} timestamped grid image(s)."
+FROM_SUBTITLES = "\n--- TRANSCRIPT (from subtitles) ---\n"
+
+
 def answers(run: Callable) -> Callable:
     """Any failure becomes an error answer."""
 
@@ -179,7 +184,7 @@ def get_video_grids(spark: SparkSession, path: str, options: GridOptions | None
     if not rows:
         return [_text("No grid frames found: shorten the window, or ask for shorter spans.")]
     answer = Answer(max_total_chars if max_total_chars is not None else o.DEFAULT_TOTAL_CHARS)
-    answer.text(f"Extracted {len(rows)} timestamped grid image(s).", force=True)
+    answer.text(EXTRACTED.format(len(rows)), force=True)
     for k, row in enumerate(rows):
         fits = answer.text(_grid_text(row, k + 1, len(rows)))
         if not (fits and answer.add_image(row["image"])):
@@ -261,7 +266,7 @@ def fetch_video(spark: SparkSession, url: str, cache: str, include_subtitles: bo
         segments = subtitles.read(spark, subs).withColumn("media_id", F.lit("0"))
         text = render.transcripts(segments, "text", o.setting("MAX_CHARS", o.DEFAULT_TRANSCRIPT_CHARS)).first()
         if text is not None:
-            out.append(_text(f"\n--- TRANSCRIPT (from subtitles) ---\n{text['text']}"))
+            out.append(_text(FROM_SUBTITLES + text["text"]))
     return out
 
 

@@ -16,6 +16,12 @@ from cuewright.operators import align
 from cuewright.operators.budget import FRAME, base64_length, total_budget
 from cuewright.plans import render
 
+# Headings of the items, which clients tell apart by them.
+TRANSCRIPT_HEADING = "\n--- TRANSCRIPT ---\n"
+CHUNK_HEADING = "\n--- TRANSCRIPT {} ---\n"
+GRID_HEADING = "\n--- FRAME GRID {} ---\n"
+REST_HEADING = "\n--- TRANSCRIPT (remaining) ---\n"
+
 CONTENT = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("grid_idx", T.IntegerType()), T.StructField("data_chars", T.LongType())]))
 
 
@@ -97,7 +103,7 @@ def pack(kind: str, block: str, chunks: dict, grids: list, most: int) -> tuple[l
             return [], out.length, out.error("The image exceeds the budget", out.length + out.image_size(size))
     elif kind != "video" or not grids:
         if (chunk := chunks.get(None)) is not None:
-            header = "\n--- TRANSCRIPT ---\n"
+            header = TRANSCRIPT_HEADING
             room = max(0, most - out.length - 256)
             if room > len(header) + 32:
                 text = header + cut(*chunk, max(32, room - len(header)))
@@ -107,15 +113,15 @@ def pack(kind: str, block: str, chunks: dict, grids: list, most: int) -> tuple[l
         grids = sorted(grids, key=lambda g: (g["start_sec"], g["grid_idx"]))
         for k, grid in enumerate(grids):
             if (chunk := chunks.get(grid["grid_idx"])) is not None:
-                out.text(f"\n--- TRANSCRIPT {grid['span']} ---\n" + cut(*chunk, max(32, most - out.length - 1024)))
-            label = f"\n--- FRAME GRID {k + 1}/{len(grids)} ---\nGrid {k + 1}/{len(grids)} {grid['label']}"
+                out.text(CHUNK_HEADING.format(grid["span"]) + cut(*chunk, max(32, most - out.length - 1024)))
+            label = GRID_HEADING.format(f"{k + 1}/{len(grids)}") + f"Grid {k + 1}/{len(grids)} {grid['label']}"
             fits = out.text(label)
             if not (fits and out.image(grid["grid_idx"], grid["data_chars"])):
                 if fits:
                     out.drop()
                 return [], out.length, out.error(f"Grid image {k + 1}/{len(grids)} exceeds the budget", out.length + out.image_size(grid["data_chars"]))
         if (chunk := chunks.get(None)) is not None:
-            out.text("\n--- TRANSCRIPT (remaining) ---\n" + cut(*chunk, max(32, most - out.length - 256)))
+            out.text(REST_HEADING + cut(*chunk, max(32, most - out.length - 256)))
     out.close()
     if out.length > most:
         return [], out.length, out.error("The payload with its summary exceeds the budget")

@@ -26,10 +26,11 @@ def build(app: str = "cuewright", cores: int | str = "*", shuffle_partitions: in
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what results depend on; leave everything about resources as the cluster has it."""
+    """Set what results depend on, and see that workers can import this package; leave resources as the cluster has them."""
     for key, value in REQUIRED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 

@@ -71,6 +71,7 @@ def find_file(folder: str, prefix: str, extensions: list[str]) -> str | None:
 class CommandFetcher:
     """A fetcher that calls an installed command-line downloader."""
 
+    # What that command takes for each kind of file.
     ARGUMENTS = {
         "subs": ["--write-subs", "--write-auto-subs", "--sub-lang", "all", "--sub-format", "srt/vtt/best", "--skip-download"],
         "thumb": ["--write-thumbnail", "--skip-download"],

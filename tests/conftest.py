@@ -12,6 +12,5 @@ from cuewright import session  # noqa: E402
 def spark():
     own = session.build("tests", cores=4, shuffle_partitions=4)
     own.sparkContext.setLogLevel("ERROR")
-    session.ship(own)
     yield own
     own.stop()
