@@ -450,6 +450,9 @@ def segment_languages(current: DataFrame, filters: Filters, entity: str = "media
 
 
 def main_languages(by_block: DataFrame, entity: str = "media_id") -> DataFrame:
-    """The language most segments of each medium are in: ``entity, main``; ties go to the first in the alphabet."""
-    counts = by_block.groupBy(entity, "lang").agg(F.sum("n").alias("n"))
+    """The language most segments of each medium are in: ``entity, main``; ties go to the first in the alphabet.
+
+    Counts positions, not ``n``, so that who joins the result to the positions reads the same exchange.
+    """
+    counts = by_block.groupBy(entity, "lang").agg(F.sum(F.size("positions")).alias("n"))
     return counts.groupBy(entity).agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("main"))
