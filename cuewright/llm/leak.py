@@ -2,10 +2,11 @@
 
 Method: seed and extend.  Hashes of ``seed_words`` consecutive words of the test
 items are looked up in every document; those that are common in the corpus
-(procedural formulas, turns of phrase) are no seeds, and the words at the head
-of an item that only common ones cover are its formula.  Documents that share
-enough rare seeds with an item are aligned with it, word by word, by a
-Smith-Waterman recurrence that may also jump: from any earlier end of a stretch
+(procedural formulas, turns of phrase) count for little, and the words at the
+head of an item that only common ones cover, in many surroundings, are its
+formula.  Documents that share some rare seeds with an item, or more of its
+seeds of any kind, are aligned with it, word by word, by a Smith-Waterman
+recurrence that may also jump: from any earlier end of a stretch
 to any later beginning, for a fixed price, so that a passage broken into several
 stretches is scored as a whole.  The corpus is scanned twice, never shuffled;
 what is exchanged are counts of the items' own seeds.
@@ -34,6 +35,12 @@ COMMON_ITEMS = 0.01
 COVERED = 0.4
 #: Share of an item's rare seeds that a document must hold to be aligned with it.
 CANDIDATE = 0.1
+#: Share of all its seeds, common and shared ones too, that will do as well: copies of a leak make its own seeds common.
+CANDIDATE_ANY = 0.15
+#: A first sentence is a formula in no fewer surroundings than these (the inverse of the chance that two are the same).
+SURROUNDINGS = 8
+#: Places that the surroundings of a first sentence are hashed to.
+PLACES = 64
 #: Words of items that one scan of the corpus is held against; more items take more scans.
 BLOCK_WORDS = 200_000
 #: Texts that a task remembers, so that copies of one count once where seeds are counted.
@@ -69,6 +76,9 @@ class Items:
         flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         self.seeds, self.seed_of = np.unique(flat, return_inverse=True)
         self.owner = np.concatenate(owner).astype(np.int64) if owner else np.zeros(0, np.int64)
+        #: Last seeds of first sentences that something of the item follows, sorted, with their items.
+        ends = [(int(seed), k, head) for k, (grams, head) in enumerate(zip(np.split(self.seed_of, np.cumsum([len(g) for g in seeds])[:-1]) if seeds else [], self.first_sentence)) if n <= head < len(self.words[k]) for seed in grams[head - n : head - n + 1]]
+        self.end_seed, self.end_item, self.end_head = (np.array(x, np.int64) for x in zip(*sorted(ends))) if ends else (np.zeros(0, np.int64),) * 3
         #: Items of each seed: ``by_seed[first[s]:first[s + 1]]``.
         self.order = np.argsort(self.seed_of, kind="stable")
         self.by_seed, self.first = self.owner[self.order], np.searchsorted(self.seed_of[self.order], np.arange(len(self.seeds) + 1))
@@ -79,27 +89,32 @@ class Items:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.seeds[wanted] >> np.uint64(44)).astype(np.int64)] = True
 
-    def settle(self, counts: np.ndarray, documents: int) -> None:
+    def settle(self, counts: np.ndarray, documents: int, around: np.ndarray) -> None:
         """Decide which seeds find which items, and cut off the formula that opens an item.
 
         A first sentence is a formula if all its seeds are common in the corpus,
-        clearly more so than the rest of the item.  Seeds that several items
-        share are turns of phrase.  Neither finds an item; but an item of which
-        most seeds are common is itself copied all over the corpus, and one of
-        which nearly all are shared is there many times, so those find it all the same.
+        clearly more so than the rest of the item and than its own way on from
+        there, and what stands ``around`` it elsewhere (counts by item and place)
+        varies: where it doesn't, copies of one text made it common.  A sentence
+        that is the whole item opens nothing, so it is none.  Seeds that
+        several items share are turns of phrase.  A few of either find no item;
+        but an item of which most seeds are common is itself copied all over the
+        corpus, and one of which nearly all are shared is there many times, so
+        those find it all the same.
         """
         common = counts > max(COMMON_LEAST, COMMON_SHARE * documents)
         pairs = np.unique(self.seed_of * len(self.words) + self.owner)
         shared = np.bincount(pairs // len(self.words), minlength=len(self.seeds)) > max(2, COMMON_ITEMS * len(self.words))
         place = np.searchsorted(self.owner, np.arange(len(self.words) + 1))
         self.rare_of_item = np.zeros(len(self.words), np.int64)
-        finds = np.zeros(len(self.owner), bool)
+        finds, holds = np.zeros(len(self.owner), bool), np.zeros(len(self.owner), bool)
+        self.seeds_of_item = np.zeros(len(self.words), np.int64)
         for k in range(len(self.words)):
             span = slice(place[k], place[k + 1])
             own, head = self.seed_of[span], self.first_sentence[k]
             first, rest = own[: max(head - self.n + 1, 0)], own[head:]
-            usual = np.median(counts[rest]) if len(rest) else 0
-            if len(first) and common[first].all() and np.median(counts[first]) >= 1.5 * usual:
+            varied = around[k].sum() ** 2 >= SURROUNDINGS * (around[k] ** 2).sum()
+            if len(first) and len(rest) and common[first].all() and varied and np.median(counts[first]) >= 1.5 * max(np.median(counts[rest]), np.median(counts[own[head - self.n + 1 : head]])):
                 self.words[k] = self.words[k][head:]
                 skip = head
             else:
@@ -110,10 +125,12 @@ class Items:
             if len(rest) and shared[rest].mean() <= 0.8:
                 good &= ~shared[rest]
             finds[span.start + skip : span.stop] = good
+            holds[span.start + skip : span.stop] = True
             self.rare_of_item[k] = len(np.unique(rest[good]))
-        self.finds = finds[self.order]
+            self.seeds_of_item[k] = len(np.unique(rest))
+        self.finds, self.holds = finds[self.order], holds[self.order]
         wanted = np.zeros(len(self.seeds), bool)
-        wanted[self.seed_of[finds]] = True
+        wanted[self.seed_of[holds]] = True
         self.look_for(wanted)
 
 
@@ -157,8 +174,32 @@ def matched_words(item: np.ndarray, text: np.ndarray) -> int:
     return int(best[-1] % unit) if m else 0
 
 
+def _surroundings(at: np.ndarray, seed: np.ndarray, found: Words, items: Items) -> np.ndarray:
+    """Where in a table of items and places each first sentence goes by the words before and after it.
+
+    One that goes on as the item does is the item's, and one that is the whole document says nothing.
+    """
+    first = np.searchsorted(items.end_seed, seed)
+    many = np.searchsorted(items.end_seed, seed, "right") - first
+    entry, at = ragged(first, many), np.repeat(at, many)
+    item, end, last = items.end_item[entry], at + items.n, len(found.hash) - 1
+    mixed, some = np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
+    for step in range(items.n):
+        for place in (end + step, end - items.end_head[entry] - 1 - step):
+            inside = (place >= 0) & (place <= last)
+            inside &= found.row[np.clip(place, 0, last)] == found.row[at]
+            word = np.where(inside, found.hash[np.clip(place, 0, last)], np.uint64(0))
+            mixed = (mixed ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            some |= inside
+    following = np.clip(end, 0, last)
+    own = np.array([items.words[k][h] for k, h in zip(item.tolist(), items.end_head[entry].tolist())], np.uint64)
+    same = (found.hash[following] == own) & (found.row[following] == found.row[at]) & (end <= last)
+    return (item * PLACES + (mixed >> np.uint64(58)).astype(np.int64))[some & ~same]
+
+
 def _count(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    counts, documents = np.zeros(len(items.seeds), np.int64), 0
+    counts, documents = np.zeros(len(items.seeds) + len(items.words) * PLACES, np.int64), 0
     seen: set[int] = set()
     for batch in batches:
         documents += batch.num_rows
@@ -166,11 +207,12 @@ def _count(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
             seen.clear()
         for part in slices(fold(batch.column(0))):
             fresh = new_rows(part, seen)
-            _, seed, row, _ = _hits(part, items)
-            seed, row = seed[fresh[row]], row[fresh[row]]
+            at, seed, row, found = _hits(part, items)
+            at, seed, row = at[fresh[row]], seed[fresh[row]], row[fresh[row]]
             if len(seed):
                 pairs = np.unique(row * len(items.seeds) + seed)
-                counts += np.bincount(pairs % len(items.seeds), minlength=len(items.seeds))
+                counts[: len(items.seeds)] += np.bincount(pairs % len(items.seeds), minlength=len(items.seeds))
+                np.add.at(counts, len(items.seeds) + _surroundings(at, seed, found, items), 1)
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(counts[seen], documents))], names=["seed", "n"])
 
@@ -185,12 +227,13 @@ def _align(batches: Iterator[pa.RecordBatch], items: Items, ids: pa.Array, share
                 continue
             n_items = items.first[seed + 1] - items.first[seed]
             entry = ragged(items.first[seed], n_items)
-            use = items.finds[entry]
-            key = np.unique(((np.repeat(row, n_items) * many + items.by_seed[entry]) * len(items.seeds) + np.repeat(seed, n_items))[use]) // len(items.seeds)
-            pair, hits = np.unique(key, return_counts=True)
-            enough = hits >= np.maximum(2, CANDIDATE * items.rare_of_item[pair % many])
+            keys = (np.repeat(row, n_items) * many + items.by_seed[entry]) * len(items.seeds) + np.repeat(seed, n_items)
+            near = []
+            for use, least, of_item in ((items.finds, CANDIDATE, items.rare_of_item), (items.holds, CANDIDATE_ANY, items.seeds_of_item)):
+                pair, hits = np.unique(np.unique(keys[use[entry]]) // len(items.seeds), return_counts=True)
+                near.append(pair[hits >= np.maximum(2, least * of_item[pair % many])])
             cuts = np.searchsorted(found.row, np.arange(part.rows + 1))
-            for p in pair[enough].tolist():
+            for p in np.union1d(*near).tolist():
                 r, k = divmod(p, many)
                 words_of_item = items.words[k]
                 own = at[(row == r)]
@@ -235,14 +278,14 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         sent = spark.sparkContext.broadcast(block)
         schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("n", T.LongType())])
         counted = texts.select("text").mapInArrow(lambda it: _count(it, sent.value), schema).groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(len(block.seeds), np.int64)
+        counts = np.zeros(len(block.seeds) + len(block.words) * PLACES, np.int64)
         total = 0
         for r in counted:
             if r["seed"] < 0:
                 total = r["n"]
             else:
                 counts[r["seed"]] = r["n"]
-        block.settle(counts, total)
+        block.settle(counts[: len(block.seeds)], total, counts[len(block.seeds) :].reshape(-1, PLACES))
         rare = spark.sparkContext.broadcast(block)
         ids = pa.array(block.ids, _arrow_type(item_type))
         out = T.StructType([T.StructField("key", doc_type), T.StructField("item", item_type), T.StructField("covered", T.DoubleType())])

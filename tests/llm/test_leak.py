@@ -91,3 +91,20 @@ def test_a_leak_that_is_copied_all_over_is_found(spark):
     docs += [(2000 + d, "so " + " ".join(items[1])) for d in range(200)]  # exact copies
     found = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
     assert found == {(1000 + d, 0) for d in range(200)} | {(2000 + d, 1) for d in range(200)}
+
+
+@pytest.mark.parametrize("stop", [None, 10, 27, 60])
+def test_part_of_an_item_in_many_near_copies_is_found(spark, stop):
+    rng = random.Random(13)
+    item = passage(rng)
+    if stop:
+        item[stop - 1] += "."  # the first sentence: less than the part, the part, or all
+    part = item[20:47] if stop is None else item[:27]
+    speech, docs = passage(rng, 120), [(d, " ".join(passage(rng, 100))) for d in range(400)]
+    for d in range(200):  # a word changed in each copy, once inside the part
+        copy = speech[:60] + part + speech[60:]
+        copy[60 + 12 if d == 7 else rng.choice([*range(60), *range(90, 147)])] = "changed"
+        docs.append((1000 + d, " ".join(copy)))
+    docs += [(2000, " ".join(passage(rng, 50) + part + passage(rng, 50))), (2001, " ".join(passage(rng, 50) + part[:15] + passage(rng, 50)))]
+    found = {r.doc_id for r in leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
+    assert found == {1000 + d for d in range(200)} | {2000}
