@@ -152,12 +152,11 @@ def _hits(part: Slice, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def matched_words(item: np.ndarray, text: np.ndarray) -> int:
     """Most words of ``item`` found in ``text``, in order, in stretches that are worth their price.
 
-    Score and matches share a number (score times 4096 plus matches), so the
-    best score, and of those with it the most matches, falls out of maxima.
+    Score and matches share a number (score times a unit beyond any number of
+    matches, plus matches), so the best score, and of those with it the most
+    matches, falls out of maxima.
     """
-    item = item[:4000]
-    same = item[:, None] == text[None, :]
-    unit = 4096
+    unit = len(item) + 1
     m = len(text)
     ramp = np.arange(m + 1, dtype=np.int64) * (_GAP * unit)
     above = np.zeros(m + 1, np.int64)
@@ -166,7 +165,7 @@ def matched_words(item: np.ndarray, text: np.ndarray) -> int:
         start = np.maximum(np.maximum(above[:-1], best[:-1] - JUMP * _MATCH * unit), 0)
         down = np.empty(m + 1, np.int64)
         down[0] = 0
-        down[1:] = np.maximum(np.where(same[i], start + _MATCH * unit + 1, above[:-1] - _MISS * unit), above[1:] - _GAP * unit)
+        down[1:] = np.maximum(np.where(text == item[i], start + _MATCH * unit + 1, above[:-1] - _MISS * unit), above[1:] - _GAP * unit)
         down[down < unit] = 0
         above = np.maximum.accumulate(down + ramp) - ramp
         above[above < unit] = 0  # without a score there are no matches either

@@ -108,3 +108,12 @@ def test_part_of_an_item_in_many_near_copies_is_found(spark, stop):
     docs += [(2000, " ".join(passage(rng, 50) + part + passage(rng, 50))), (2001, " ".join(passage(rng, 50) + part[:15] + passage(rng, 50)))]
     found = {r.doc_id for r in leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
     assert found == {1000 + d for d in range(200)} | {2000}
+
+
+def test_later_parts_of_a_long_item_count(spark):
+    rng = random.Random(17)
+    item = [f"word{rng.randrange(10**6)}" for _ in range(12_000)]
+    body = passage(rng, 200)
+    docs = [(0, body + item), (1, item[7_100:] + body), (2, body + item[4_000:8_000]), (3, item[:6_000] + body), (4, body)]
+    found = {r.doc_id: r.covered for r in leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
+    assert found == {0: 1.0, 1: 4_900 / 12_000, 3: 0.5}
