@@ -144,3 +144,18 @@ def test_batches_have_a_limit(spark):
     with pytest.raises(MediaError):
         media.check_batch(spark.range(2), 1)
     assert media.check_batch(spark.range(2), 1, lift=True).count() == 2
+
+
+def test_payloads_count_all_segments(spark, tmp_path):
+    from cuewright.plans.queries import QUERIES
+
+    media = {"plain": ["one", "two…"], "notes": ["🎵 la 🎵", 'say "𝄞"', "three", None], "edge": ["🎵" * 23_980], "beyond": ["🎵" * 23_981]}
+    rows = [(m, i, 0.0, 1.0, x, False) for m, texts in media.items() for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "media_id string, seg_idx int, start_ms double, end_ms double, text string, turn boolean")
+    df.withColumn("ingested_at", F.timestamp_micros(F.lit(0))).write.parquet(f"{tmp_path}/segments.parquet")
+    found = {r.media_id: (r.total, r.n, r.over) for r in QUERIES["payload_length_whole"](spark, str(tmp_path)).collect()}
+    wanted = {}
+    for m, texts in media.items():
+        items = [{"type": "text", "text": x} for x in texts if x is not None]
+        wanted[m] = (payload(items), len(items), payload(items) > 48_000)
+    assert found == wanted and {m for m in wanted if wanted[m][2]} == {"beyond"}
