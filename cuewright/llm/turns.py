@@ -31,6 +31,8 @@ _HONORIFIC = {"mr", "mrs", "ms", "mx", "dr", "sir", "dame", "lord", "lady", "pro
 _VOICE = re.compile(r"(?:(?:speaker|voice|person)[\s_]*|s)0*(\d{1,4})")
 _CANDIDATE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^<>]{1,80})>|\[([^\[\]]{1,80})\]|:(?=\s|$)")
 _DASH = re.compile(r"\s[-—–](?=\s|$)|—")
+#: What a text with a label has: a mark of ``_CANDIDATE`` or of ``_DASH``.
+_MAYBE = re.compile(r"[:\[—]|<v|\s[-–]")
 _LEAD = re.compile(rf"(?:\s|-\s|>+|{TIME_STAMP.pattern}|\d{{1,2}}:\d{{2}}(?::\d{{2}})?\s|{SOUND_NOTE.pattern})*", re.I)
 _PAREN = re.compile(r"\s*\(([^()]*)\)$")
 
@@ -204,7 +206,7 @@ def _block(rows: list[tuple], people: Speakers, pause_ms: float | None) -> list[
     """Parts of one block's segments ``(seg, start, end, text, flag)``, in order, and its summary."""
     texts, places = [], []
     for row, (_, _, _, text, _) in enumerate(rows):
-        labels = people.labels(text) if (":" in text or "[" in text or "<v" in text or "—" in text or " -" in text) else []
+        labels = people.labels(text) if _MAYBE.search(text) else []
         cuts = [0, *(x for a, b, _ in labels for x in (a, b)), len(text)]
         for k in range(0, len(cuts), 2):
             texts.append(text[cuts[k] : cuts[k + 1]])

@@ -90,3 +90,8 @@ def test_empty_tables_and_missing_keys(spark):
     rows = [(None, 0, 0.0, 1.0, "Kuzenberg: x", True, T1, "", ""), ("m", None, 0.0, 1.0, "Kuzenberg: x", True, T1, "", ""), ("m", 1, 0.0, 1.0, "Kuzenberg: x", True, None, "", "")]
     found = speaker_turns(spark.createDataFrame(rows, SEG), spark.createDataFrame([], SPEAKERS)).collect()
     assert [(r.seg_idx, r.speaker_id, r.opened_by) for r in found] == [(1, "unknown", "flag")]
+
+
+@pytest.mark.parametrize("dash", [" - ", " – ", " — ", "— ", " – ", "\t- "])
+def test_every_dash_ends_a_label(spark, dash):
+    assert opened(turns(spark, [("hello all", True), (f"Kuzenberg{dash}my words", False)])) == [(0, "unknown"), (1, "s3")]
