@@ -100,31 +100,29 @@ def _sentence_keys(row: np.ndarray, sentence: np.ndarray, hashes: np.ndarray) ->
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a task and its frequent long sentences; kind 0 counts words, 1 sentences, 2 documents."""
-    kept: list[list[np.ndarray]] = [[], []]
-    counts: list[list[np.ndarray]] = [[], []]
+    """Words of a task, all its long sentences by the text they are in, and its documents; kind 0 counts words, 1 sentences, 2 documents."""
+    kept: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
     documents = 0
     seen: set[int] = set()
 
-    def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        if not kept[kind]:
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        if not kept:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, at = np.unique(np.concatenate(kept[kind]), return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts[kind])).astype(np.int64)
-        kept[kind], counts[kind] = [keys], [n]
+        keys, at = np.unique(np.concatenate(kept), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        kept[:], counts[:] = [keys], [n]
         return keys, n
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+    def rows(kind: int, keys: np.ndarray, texts: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(texts.view(np.int64)), pa.array(n)], names=["kind", "key", "text", "n"])
 
     def settled() -> Iterator[pa.RecordBatch]:
-        yield rows(0, *merged(0))
-        keys, n = merged(1)
-        often = n >= USUAL / 5 * documents
-        yield rows(1, keys[often], n[often])
-        yield rows(2, np.zeros(1, np.uint64), np.array([documents]))
-        for kind in (0, 1):
-            kept[kind], counts[kind] = [], []
+        keys, n = merged()
+        yield rows(0, keys, np.zeros(len(keys), np.uint64), n)
+        yield rows(2, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([documents]))
+        kept.clear()
+        counts.clear()
 
     for batch in batches:
         documents += batch.num_rows
@@ -132,15 +130,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = words(part)
             ends = _sentence_ends(part.data, np.ones(len(part.data), bool))
             at, n, sentence = _sentence_keys(found.row, np.searchsorted(ends, found.start, "right"), found.hash)
-            fresh = new_rows(part, seen)[found.row[at]]  # a speech that is there many times makes no formula of its sentences
-            for kind, values in ((0, found.hash), (1, sentence[(n >= USUAL_WORDS) & fresh])):
-                keys, n_keys = np.unique(values, return_counts=True)
-                kept[kind].append(keys)
-                counts[kind].append(n_keys)
-        if sum(len(k) for own in kept for k in own) > 1 << 20 and sum(len(merged(kind)[0]) for kind in (0, 1)) > 1 << 19:
+            row = found.row[at]
+            use = np.flatnonzero((n >= USUAL_WORDS) & new_rows(part, seen)[row])
+            use = use[np.lexsort((sentence[use], row[use]))]
+            first = np.ones(len(use), bool)
+            first[1:] = (row[use][1:] != row[use][:-1]) | (sentence[use][1:] != sentence[use][:-1])
+            one = np.flatnonzero(first)
+            if len(one):
+                texts = span_hash(part.data, part.offsets[:-1], part.offsets[1:])
+                yield rows(1, sentence[use[one]], texts[row[use[one]]], np.diff(np.append(one, len(use))))
+            keys, n_keys = np.unique(found.hash, return_counts=True)
+            kept.append(keys)
+            counts.append(n_keys)
+        if len(seen) > 1 << 20:
+            seen.clear()  # copies that are met again are told by their text later
+        if sum(map(len, kept)) > 1 << 20 and len(merged()[0]) > 1 << 19:
             yield from settled()
             documents = 0
-            seen.clear()
     yield from settled()
 
 
@@ -158,12 +164,15 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> Corpus:
 
     Words with at least ``COMMON`` of all words: at most one over that share,
     whatever the size of the corpus.  Sentences of ``USUAL_WORDS`` words and more
-    that are as frequent as ``USUAL`` of the documents (formulas): a task reports
-    those it meets in a fifth of that share, so a sentence's count may fall short
-    by that much, and their number is bounded too.
+    that are as frequent as ``USUAL`` of the documents (formulas), where texts
+    that are there many times count once; their number is bounded too.  Counts
+    don't depend on how documents lie in tasks.
     """
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
-    counted = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("text", T.LongType()), T.StructField("n", T.LongType())])
+    told = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, schema)
+    # A text's sentences count as often as they are in one copy of it; those that are too few for any formula aren't kept.
+    per_text = told.repartition("kind", "key").groupBy("kind", "key", "text").agg(F.sum("n").alias("all"), F.max("n").alias("one"))
+    counted = per_text.groupBy("kind", "key").agg(F.sum(F.when(F.col("kind") == 1, F.col("one")).otherwise(F.col("all"))).alias("n")).where("kind <> 1 OR n >= 5")
     counted = counted.persist()
     try:
         totals = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}

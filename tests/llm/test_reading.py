@@ -84,3 +84,16 @@ def test_held_out_accuracy_on_graded_passages(spark):
     rows = other.select("text", F.col("reading_level")).collect()
     x = np.concatenate([model.features(p)[0] for p in slices(fold(pa.array([r[0] for r in rows])))])
     assert (model.levels(x) == [r[1] for r in rows]).mean() >= 0.9
+
+
+def test_formulas_count_wherever_they_lie(spark):
+    """A formula of just over 0.5 % of the documents, nearly all in one task; a speech with copies in every task makes none."""
+    formula = "the question was put from the chair and the chamber agreed to it at once."
+    copied = "this long sentence is in one speech only which is there many times over and over."
+    known = reading.corpus_counts(spark.createDataFrame([(f"{formula} a{i}.",) for i in range(9)], "text string")).usual
+    groups = [[f"word{g}x{i}. {formula if i < (28 if g == 0 else 1) else 'other thing.'}" for i in range(1_500)] for g in range(4)]
+    copies = [[f"word{g}x{i}. {formula if i < 2 else 'other thing.'}" for i in range(40)] + [copied] * 6 for g in range(8)]
+    for tasks in (groups, copies):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for g in tasks for t in g], len(tasks)), "text string")
+        for parts in (len(tasks), 1):
+            assert reading.corpus_counts(docs.coalesce(parts)).usual.tolist() == known.tolist() and len(known) == 1
