@@ -117,7 +117,7 @@ class Filters:
         return cls(table, fill ** len(_HASHES))
 
     def shares(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For the stretches that begin at ``cuts``: n-grams, and the share of them each language has."""
+        """For the stretches that begin at ``cuts``, of any length: n-grams, and the share of them each language has."""
         if not len(cuts):
             return np.zeros(0), np.zeros((0, len(LANGUAGES)))
         keys, good = _grams(data)
@@ -125,12 +125,18 @@ class Filters:
         mask = self.table[_places(keys, 0)] & self.table[_places(keys, 1)]
         mask[~good] = 0
         wide = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_SPREAD[mask & 0x0F], out=wide[1:])  # four 16-bit counters to a word: a stretch is cut before they run over
+        np.cumsum(_SPREAD[mask & 0x0F], out=wide[1:])  # four 16-bit counters to a word: long stretches are counted in pieces, before they run over
         ends = np.append(cuts[1:], len(data))
-        counts = np.empty((len(cuts), len(LANGUAGES)))
-        _unspread(wide, cuts, ends, counts, 0)
+        pieces = np.union1d(cuts, np.arange(cuts[0], len(data), _STRETCH)) if (ends - cuts).max() > _STRETCH else cuts
+        piece_ends = np.append(pieces[1:], len(data))
+        counts = np.empty((len(pieces), len(LANGUAGES)))
+        _unspread(wide, pieces, piece_ends, counts, 0)
         np.cumsum(_SPREAD[mask >> 4], out=wide[1:])
-        _unspread(wide, cuts, ends, counts, 4)
+        _unspread(wide, pieces, piece_ends, counts, 4)
+        if pieces is not cuts:
+            whole = np.zeros((len(cuts), len(LANGUAGES)))
+            np.add.at(whole, np.searchsorted(cuts, pieces, "right") - 1, counts)
+            counts = whole
         total = np.concatenate([[0], np.cumsum(good)])
         n = (total[ends] - total[cuts]).astype(float)
         fair = (counts - n[:, None] * self.false) / (1 - self.false)
@@ -140,7 +146,7 @@ class Filters:
 _SPREAD = np.array([sum(((v >> b) & 1) << (16 * b) for b in range(4)) for v in range(16)], np.uint64)
 #: Share of a text's n-grams that must lie in sentences which decide.
 _RUNNING = 0.3
-#: Longest stretch whose counts fit 16 bits.
+#: Longest piece of a stretch whose counts fit 16 bits.
 _STRETCH = 60_000
 #: A stretch of more bytes without an end mark (punctuation may be lost) is cut into windows; a window counts as a sentence.
 _LONG, _WINDOW = 240, 64

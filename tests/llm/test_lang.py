@@ -87,3 +87,11 @@ def test_fitting_on_a_bounded_sample(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
     first, again = lang.fit(df, per_label=3), lang.fit(df.repartition(2), per_label=3)
     assert (first.table == again.table).all()
+
+
+def test_parts_of_any_length_are_as_sure(spark, filters):
+    short, long = detect(spark, filters, [" ".join(SAY["it"] * 100), " ".join(SAY["it"] * 2_000)])
+    assert len(long.parts) == 1 and abs(long.parts[0].confidence - short.parts[0].confidence) < 0.01
+    data = np.frombuffer(" ".join(SAY["fr"] * 2_000).encode(), np.uint8)
+    whole, pieces = filters.shares(data, np.array([0])), filters.shares(data, np.arange(0, len(data), 50_000))
+    assert whole[0][0] == pieces[0].sum() and np.allclose(whole[1][0], np.average(pieces[1], axis=0, weights=pieces[0]), atol=1e-3)
