@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from cuewright.functions.stream import changes, whole_groups
 from cuewright.functions.textvec import SLICE_BYTES, Slice, as_strings, slices
+from cuewright.llm.turns import Speakers, known_speakers
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl")
 #: Documents per label (and as many without a usable one) that the filters are fitted on.
@@ -390,17 +391,29 @@ def document_languages(df: DataFrame, filters: Filters, key: str = "doc_id", tex
 # ---------------------------------------------------------------- segments
 
 
-#: What may be a speaker's label at the head of a segment; it isn't in the language of the speech.
-_LABEL = r"^[^:]{0,45}:(\s|$)|^[^:-]{0,45} [-—](\s|$)"
+#: What may end with a speaker's label at the head of a segment; a label isn't in the language of the speech.
+_LABEL = r"^[^:]{0,45}:(\s|$)|^[^:-]{0,45} [-—–](\s|$)"
 
 
-def _segments(batches: Iterator[pa.RecordBatch], filters: Filters, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _without_label(column: pa.Array, people: Speakers) -> pa.Array:
+    """Texts without the label at their head, where there is one: other words before a colon or a dash are spoken."""
+    maybe = pc.match_substring_regex(column, _LABEL)
+    spoken = []
+    for text in column.filter(maybe).to_pylist():
+        end = re.match(_LABEL, text)
+        label = next((x for x in people.labels(text) if end and x[0] < end.end()), None)
+        spoken.append(f"{text[: label[0]]} {text[label[1] :]}" if label else text)
+    return pc.replace_with_mask(column, maybe, pa.array(spoken, column.type))
+
+
+def _segments(batches: Iterator[pa.RecordBatch], filters: Filters, names: list[str], speakers: list[dict]) -> Iterator[pa.RecordBatch]:
     """Per (entity, block, language): the segments in it, and how sure each is."""
+    people = Speakers([dict(r) for r in speakers])
     codes = pa.array(LANGUAGES, pa.string())
     for batch in whole_groups(batches, [0, 1]):
         group = np.cumsum(changes(batch, [0, 1])) - 1
         own, sure = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-        spoken = pc.replace_substring_regex(_lower(batch.column(3)), _LABEL, " ")
+        spoken = _without_label(_lower(batch.column(3)), people)
         for part in slices(spoken, SLICE_BYTES // 2):
             cuts = np.unique(np.concatenate([part.offsets[:-1], np.arange(0, len(part.data), _STRETCH)]))
             cuts = cuts[cuts < len(part.data)]
@@ -431,14 +444,16 @@ def _segments(batches: Iterator[pa.RecordBatch], filters: Filters, names: list[s
         )
 
 
-def segment_languages(current: DataFrame, filters: Filters, entity: str = "media_id", position: str = "seg_idx", text: str = "text") -> DataFrame:
+def segment_languages(current: DataFrame, filters: Filters, entity: str = "media_id", position: str = "seg_idx", text: str = "text", speakers: DataFrame | None = None) -> DataFrame:
     """Segments by medium, block and language: ``entity, lang, n, positions, confidences``.
 
     ``current`` comes from ``latest_in_blocks``.  A row lists the positions of one
     block in one language, so what is joined per medium later are a few rows per
     block and not its segments.  Segments that no language leads in (no words,
-    names only, a word or two) are in no list.
+    names only, a word or two) are in no list.  Labels that name one of
+    ``speakers`` or number a voice are no part of the speech.
     """
+    people = known_speakers(speakers) if speakers is not None else []
     schema = T.StructType(
         [
             T.StructField("entity", current.schema[entity].dataType),
@@ -451,7 +466,7 @@ def segment_languages(current: DataFrame, filters: Filters, entity: str = "media
     shared = current.sparkSession.sparkContext.broadcast(filters)
     names = schema.fieldNames()
     rows = current.select(F.col(entity).alias("entity"), "block", F.col(position).cast("long").alias("position"), F.col(text).cast("string").alias("text"))
-    found = rows.mapInArrow(lambda it: _segments(it, shared.value, names), schema)
+    found = rows.mapInArrow(lambda it: _segments(it, shared.value, names, people), schema)
     return found.withColumnRenamed("entity", entity)
 
 

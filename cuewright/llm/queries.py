@@ -61,7 +61,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     segments = _table(spark, folder, "segments").select("media_id", "seg_idx", "text", "ingested_at")
     current = latest_in_blocks(segments, "media_id", "seg_idx", "ingested_at")
     # Three readers share this exchange: none of them may add a filter or drop a column that another keeps.
-    by_block = lang.segment_languages(current, filters).where("media_id IS NOT NULL AND lang IS NOT NULL").select("media_id", "lang", "positions").repartition("media_id")
+    by_block = lang.segment_languages(current, filters, speakers=_table(spark, folder, "speakers")).where("media_id IS NOT NULL AND lang IS NOT NULL").select("media_id", "lang", "positions").repartition("media_id")
     mains = lang.main_languages(by_block)
     in_segments = (
         by_block.join(mains, "media_id").where("lang <> main").select(kind("segment"), F.col("media_id").alias("item_key"), F.explode(F.col("positions").cast("array<int>")).alias("seg_idx"), "lang")

@@ -146,6 +146,14 @@ class Speakers:
         return found
 
 
+def known_speakers(speakers: DataFrame) -> list[dict]:
+    """Rows for ``Speakers``."""
+    people = [r.asDict() for r in speakers.select("speaker_id", "full_name", "family_name", "honorific", "party", "office").limit(MAX_SPEAKERS + 1).collect()]
+    if len(people) > MAX_SPEAKERS:
+        raise ValueError(f"more than {MAX_SPEAKERS} speakers: resolve labels medium by medium")
+    return people
+
+
 def _ms(value: float) -> float | None:
     return None if value != value or value in (np.inf, -np.inf) else float(value)
 
@@ -297,9 +305,7 @@ def speaker_turns(df: DataFrame, speakers: DataFrame, entity: str = "media_id",
     unusable times are null.  An empty table gives an empty result; further
     columns aren't read.
     """
-    people = [r.asDict() for r in speakers.select("speaker_id", "full_name", "family_name", "honorific", "party", "office").limit(MAX_SPEAKERS + 1).collect()]
-    if len(people) > MAX_SPEAKERS:
-        raise ValueError(f"more than {MAX_SPEAKERS} speakers: resolve labels medium by medium")
+    people = known_speakers(speakers)
     rows = df.select(F.col(entity).alias("entity"), F.col(position).cast("long").alias("position"), F.col("start_ms").cast("double").alias("start"), F.col("end_ms").cast("double").alias("end"), F.col("text"), F.coalesce(F.col("turn"), F.lit(False)).alias("turn"), F.col(version).alias("version"))
     current = latest_in_blocks(rows, "entity", "position", "version", block).where(F.length(F.trim("text")) > 0)
     schema = T.StructType(

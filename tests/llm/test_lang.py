@@ -95,3 +95,14 @@ def test_parts_of_any_length_are_as_sure(spark, filters):
     data = np.frombuffer(" ".join(SAY["fr"] * 2_000).encode(), np.uint8)
     whole, pieces = filters.shares(data, np.array([0])), filters.shares(data, np.arange(0, len(data), 50_000))
     assert whole[0][0] == pieces[0].sum() and np.allclose(whole[1][0], np.average(pieces[1], axis=0, weights=pieces[0]), atol=1e-3)
+
+
+def test_words_before_a_colon_are_spoken(spark, filters):
+    column = pa.array(["to quote the report:", "we know - they said", "mr brown: yes", "mr brown – yes", "speaker 2: yes", ">> mr brown: a: b", "no mark", "", "so it was: mr brown: yes"])
+    people = lang.Speakers([{"speaker_id": "s1", "full_name": "Cy Brown", "family_name": "Brown", "honorific": "Mr", "party": None, "office": None}])
+    kept = [" ".join(x.split()) for x in lang._without_label(column, people).to_pylist()]
+    assert kept == ["to quote the report:", "we know - they said", "yes", "yes", "yes", "a: b", "no mark", "", "so it was: mr brown: yes"]
+    rows = [("m", i, SAY["it"][i % 3], None) for i in range(5)] + [("m", 5, "We would like to know what happens to it:", None), ("m", 6, "It was dark and they were late - for the", None)]
+    df = spark.createDataFrame(rows, "media_id string, seg_idx int, text string, ingested_at timestamp")
+    found = lang.segment_languages(latest_in_blocks(df, "media_id", "seg_idx", "ingested_at"), filters).where("lang = 'en'").collect()
+    assert [r.positions for r in found] == [[5, 6]]
