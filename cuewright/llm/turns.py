@@ -178,8 +178,6 @@ class _Part:
 _CARRY, _PENDING, _SETTLED, _SUMMARY = range(4)
 
 
-#: Words that are looked back at, and characters that hold them.
-_KEPT, _TAIL = 40, 400
 _MARKS = str.maketrans("", "", ".,;:!?")
 
 
@@ -188,8 +186,8 @@ def _repeated(before: str, plain: str, speech: str) -> int:
     head = plain.split(None, 3)[:3]
     if len(head) < 3 or " ".join(head) not in before:
         return 0
-    cut = _overlap(before.split()[-_KEPT:], plain.split()[:_KEPT])
     words = plain.split()
+    cut = _overlap(before.split(), words)
     if cut and len(words) != len(speech.split()):  # lone marks among the words: they go with what they follow
         done = 0
         for k, word in enumerate(speech.split()):
@@ -201,13 +199,19 @@ def _repeated(before: str, plain: str, speech: str) -> int:
 
 
 def _overlap(before: list[str], words: list[str]) -> int:
-    """How many words a segment repeats from the end of what was said (at least three)."""
-    if len(words) < 3 or len(before) < 3:
-        return 0
-    for n in range(min(len(before), len(words)), 2, -1):
-        if before[-n] == words[0] and before[-n:] == words[:n]:
-            return n
-    return 0
+    """How many words a segment repeats from the end of what was said (at least three), by a failure function."""
+    words, n, fail = words[: len(before)], 0, [0]
+    for word in words[1:]:
+        while n and words[n] != word:
+            n = fail[n - 1]
+        n += words[n] == word
+        fail.append(n)
+    n = 0
+    for word in before[-len(words) :] if words else []:
+        while n and (n == len(words) or words[n] != word):
+            n = fail[n - 1]
+        n += words[n] == word
+    return n if n > 2 else 0
 
 
 def _block(rows: list[tuple], people: Speakers, pause_ms: float | None) -> list[_Part]:
@@ -224,7 +228,10 @@ def _block(rows: list[tuple], people: Speakers, pause_ms: float | None) -> list[
     starts, ends = (np.array([r[c] for r in rows], float) for c in (1, 2))
     limit = pause_ms if pause_ms is not None else _usual_pause(starts, ends, np.zeros(len(rows), bool))
     row_before, pos = -1, 0
-    for (row, who, n_labels), speech in zip(places, cleaned(texts)):
+    spoken = cleaned(texts)
+    plains = [" ".join(speech.casefold().translate(_MARKS).split()) for speech in spoken]
+    tail = max(map(len, plains)) + 1  # no repetition is longer than what repeats
+    for (row, who, n_labels), speech, plain in zip(places, spoken, plains):
         seg, start, end, _, flag = rows[row]
         pos = 0 if row != row_before else pos + 1
         first_of_row, row_before = row != row_before, row
@@ -245,11 +252,10 @@ def _block(rows: list[tuple], people: Speakers, pause_ms: float | None) -> list[
         if first_of_row and end == end:
             reach = max(reach, end)
         if speech and now is not None:
-            plain = speech.casefold().translate(_MARKS)
             cut = _repeated(said, plain, speech)
             fresh = " ".join(speech.split()[cut:]) if cut else speech
             if fresh:
-                said = " ".join(f"{said} {plain}".split()[-_KEPT:]) if cut else f"{said} {plain}"[-_TAIL:]
+                said = f"{said} {plain}"[-tail:]
             now.texts.append(fresh)
             now.end = np.fmax(now.end, end)
     parts.append(_Part(_SUMMARY, "", holder if events else None, rows[-1][0], 1 << 20, float("nan")))

@@ -1,8 +1,9 @@
+import random
 from datetime import datetime
 
 import pytest
 
-from cuewright.llm.turns import Speakers, speaker_turns
+from cuewright.llm.turns import Speakers, _overlap, speaker_turns
 
 T1 = datetime(2024, 1, 1)
 SEG = "media_id string, seg_idx int, start_ms double, end_ms double, text string, turn boolean, ingested_at timestamp, speaker_id string, who string"
@@ -95,3 +96,20 @@ def test_empty_tables_and_missing_keys(spark):
 @pytest.mark.parametrize("dash", [" - ", " – ", " — ", "— ", " – ", "\t- "])
 def test_every_dash_ends_a_label(spark, dash):
     assert opened(turns(spark, [("hello all", True), (f"Kuzenberg{dash}my words", False)])) == [(0, "unknown"), (1, "s3")]
+
+
+def test_long_captions_are_said_once(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    grown = [a, a + b, a + b + c, (b + c)[5:] + ["end"]]
+    apart = [a, b[:20], a + b[:20] + c]
+    for segments in (grown, apart):
+        found = turns(spark, [(("Kuzenberg: " if i == 0 else "") + " ".join(w), False) for i, w in enumerate(segments)])
+        wanted = a + b + c + ["end"] if segments is grown else a + b[:20] + c
+        assert [t.split() for *_, t in found] == [wanted]
+
+
+def test_overlaps_are_the_longest():
+    rng = random.Random(3)
+    for _ in range(500):
+        before, words = ([rng.choice("ab") for _ in range(rng.randrange(12))] for _ in range(2))
+        assert _overlap(before, words) == max([n for n in range(3, 13) if n <= min(len(before), len(words)) and before[-n:] == words[:n]], default=0)
