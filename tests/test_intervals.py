@@ -86,3 +86,37 @@ def test_plan_shuffles_containers_not_rows(spark):
     assert [tuple(r) for r in found] == [("hot", "period", 0, 100_001)]
     ids, low, high = intervals.unite(*(x for x in __import__("numpy").array([[0, 0, 1], [5, 0, 3], [9, 6, 4]])), 1)
     assert ids.tolist() == [0, 1] and low.tolist() == [0, 3] and high.tolist() == [9, 4]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_intervals_of_any_length(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        a = float(rng.randrange(-(1 << rng.randrange(10, 52)), 1 << rng.randrange(10, 52)))
+        rows.append((rng.choice(["a", "b", "hot"]), a, a + rng.randrange(1, 1 << rng.randrange(1, 52 if rng.random() < 0.2 else 34))))
+    rows += [("c", -float(1 << 52), float(1 << 52)), ("c", 5.0, 9.0), ("d", 0.0, 200.0 * SHARD), ("d", 10.0 * SHARD, 20.0 * SHARD + 7), ("d", 200.0 * SHARD + 300, 400.0 * SHARD), ("d", 64.0 * SHARD, 128.0 * SHARD)]
+    assert run(spark, rows, 500) == brute(rows, 500, None)
+
+
+def test_long_intervals_cost_a_bounded_number_of_rows():
+    import numpy as np
+
+    first = np.array([-(1 << 31), -(1 << 30) + 17, 0, 3, 64, 64]) - np.array([0, 0, 0, 0, 0, 1])
+    stop = np.array([1 << 31, (1 << 30) - 5, 128, 132, 4096 * 3, 4096 * 3 + 1])
+    met = [set() for _ in first]
+    rows = np.zeros(len(first), int)
+    for level, who, begin, end in intervals._levels(first, stop):
+        np.add.at(rows, who, end - begin)
+        for k, a, b in zip(who.tolist(), begin.tolist(), end.tolist()):
+            met[k].add((a * 64**level, b * 64**level))
+    assert rows.max() <= 800
+    for k, ranges in enumerate(met):
+        ranges = sorted(r for r in ranges if r[0] < r[1])
+        assert ranges[0][0] == first[k] and ranges[-1][1] == stop[k] and all(x[1] == y[0] for x, y in zip(ranges, ranges[1:]))
+
+
+def test_a_wrong_promise_is_an_error(spark):
+    df = spark.createDataFrame([("a", 0.0, 1e15, 7, "x", "y")], SCHEMA)
+    with pytest.raises(Exception, match="ruled out"):
+        coverage(df, "m", "a", "b", long=False).collect()
