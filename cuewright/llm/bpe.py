@@ -7,12 +7,14 @@ new ones
 1. greedy longest match proposes tokens for all of them at the same time;
 2. every adjacent pair of proposed tokens is tested, again for all at the same
    time, for whether merging could have crossed the border between them;
-3. only pre-tokens with a failing pair are merged exactly, rank by rank.
+3. only pre-tokens with a failing pair are merged exactly, rank by rank; of a
+   long one only the surroundings of that pair, until their borders hold.
 
 Step 2 is exact, not a heuristic: token ids are merge ranks, every token of the
 vocabulary is what its own bytes merge to (checked when the vocabulary is
 loaded), so a sequence is the result of merging if and only if no border
-between neighbours would ever have been crossed.
+between neighbours would ever have been crossed.  That is also why a long
+pre-token (a line of marks, a gene sequence) can be mended piece by piece.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import base64
 import os
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,12 @@ from cuewright.functions.textvec import Slice, mix, ragged, slices
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 #: Distinct pre-tokens kept by a worker; beyond it the memory is emptied and filled anew.
 KEPT_WORDS = 400_000
+#: Pre-tokens of more bytes are long: their longest matches come from a table of all positions.
+LONG_WORD = 64
+#: Positions of such a table.
+TABLE = 1 << 18
+#: Tokens on either side of a failing pair that are merged anew at first.
+AROUND = 4
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _NONE = np.int32(-1)
@@ -89,22 +98,38 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array(list(pairs.values()), np.int64)[order]
         self.base = [self.ranks[bytes([b])] for b in range(256)]
+        self.sizes = np.zeros(size, np.int64)
+        self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
         self._hash_tokens()
         self.classes = _classes()
 
     def merge(self, word: bytes, below: int = 1 << 30) -> list[int]:
-        """Exact merging: the lowest rank first, from the left, as long as it is lower than ``below``."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = below, -1
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get(parts[i] + parts[i + 1], below)
-                if rank < best:
-                    best, at = rank, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        """Exact merging: the lowest rank first, from the left, as long as it is lower than ``below``.
+
+        Pairs wait in a heap by rank and place and parts are linked, so a word of
+        n bytes takes n log n steps.
+        """
+        ranks, n = self.ranks, len(word)
+        stop, before = list(range(1, n + 1)), list(range(-1, n))  # where the part that begins here ends, where the one before begins
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2], below)) < below]
+        heapify(heap)
+        while heap:
+            _, i, end = heappop(heap)
+            middle = stop[i]
+            if middle <= i or middle >= end or stop[middle] != end:
+                continue  # one of the two has been merged since
+            stop[i], stop[middle] = end, 0
+            if end < n:
+                before[end] = i
+                if (rank := ranks.get(word[i : stop[end]], below)) < below:
+                    heappush(heap, (rank, i, stop[end]))
+            if i and (rank := ranks.get(word[before[i] : end], below)) < below:
+                heappush(heap, (rank, before[i], end))
+        parts, i = [], 0
+        while i < n:
+            parts.append(ranks[word[i : stop[i]]])
+            i = stop[i]
+        return parts
 
     def _hash_tokens(self) -> None:
         """Token hashes by length, sorted for binary search; single bytes need none."""
@@ -114,48 +139,80 @@ class Vocabulary:
                 by_length.setdefault(len(token), []).append((token, rank))
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length, items in by_length.items():
-            rows = np.frombuffer(b"".join(t for t, _ in items), np.uint8).reshape(-1, length)
-            hashes = np.zeros(len(items), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(length):
-                    hashes = hashes * np.uint64(1099511628211) + rows[:, k].astype(np.uint64) + np.uint64(1)
-            hashes = mix(hashes)
+            hashes = _hash_rows(np.frombuffer(b"".join(t for t, _ in items), np.uint8).reshape(-1, length))
             order = np.argsort(hashes)
             self.by_length[length] = (hashes[order], np.array([r for _, r in items], np.int64)[order])
         self.longest = max(self.by_length, default=1)
+        #: Hashes of all beginnings of tokens by length: what isn't one needn't be followed any further.
+        begun: dict[int, set[bytes]] = {}
+        for items in by_length.values():
+            for token, _ in items:
+                for k in range(2, len(token)):
+                    begun.setdefault(k, set()).add(token[:k])
+        self.begun = {k: np.sort(_hash_rows(np.frombuffer(b"".join(heads), np.uint8).reshape(-1, k))) for k, heads in begun.items()}
+
+    def matches(self, data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token from each place on that ends before ``stop``: which, and its length."""
+        size = np.minimum(stop - at, self.longest)
+        found, length = np.array(self.base, np.int64)[data[at]], np.ones(len(at), np.int64)
+        hashes = np.zeros(len(at), np.uint64)
+        alive = np.arange(len(at))
+        for k in range(1, int(size.max(initial=0)) + 1):
+            alive = alive[size[alive] >= k]
+            with np.errstate(over="ignore"):
+                hashes[alive] = hashes[alive] * np.uint64(1099511628211) + data[at[alive] + k - 1].astype(np.uint64) + np.uint64(1)
+            if k == 1:
+                continue
+            value = mix(hashes[alive])
+            if (table := self.by_length.get(k)) is not None:
+                place = np.minimum(np.searchsorted(table[0], value), len(table[0]) - 1)
+                hit = table[0][place] == value
+                found[alive[hit]], length[alive[hit]] = table[1][place[hit]], k
+            if (begun := self.begun.get(k)) is None:
+                break
+            alive = alive[begun[np.minimum(np.searchsorted(begun, value), len(begun) - 1)] == value]
+            if not len(alive):
+                break
+        return found, length
 
     def propose(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match of all words at once: tokens in order of (word, position), and counts."""
-        base = np.array(self.base, np.int64)
-        at, word = start.copy(), np.arange(len(start))
-        out_word, out_at, out_token = [], [], []
+        long = end - start > LONG_WORD
+        word = np.flatnonzero(~long)
+        at = start[word]
+        out_word, out_at, out_token = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(at):
-            stop = end[word]
-            size = np.minimum(stop - at, self.longest)
-            found, length = base[data[at]], np.ones(len(at), np.int64)
-            hashes = np.zeros(len(at), np.uint64)
-            alive = np.arange(len(at))
-            with np.errstate(over="ignore"):
-                for k in range(1, int(size.max()) + 1):
-                    alive = alive[size[alive] >= k]
-                    hashes[alive] = hashes[alive] * np.uint64(1099511628211) + data[at[alive] + k - 1].astype(np.uint64) + np.uint64(1)
-                    table = self.by_length.get(k)
-                    if table is None:
-                        continue
-                    value = mix(hashes[alive])
-                    place = np.minimum(np.searchsorted(table[0], value), len(table[0]) - 1)
-                    hit = table[0][place] == value
-                    found[alive[hit]], length[alive[hit]] = table[1][place[hit]], k
+            found, length = self.matches(data, at, end[word])
             out_word.append(word)
             out_at.append(at)
             out_token.append(found)
             at = at + length
-            left = at < stop
+            left = at < end[word]
             at, word = at[left], word[left]
+        for w in np.flatnonzero(long).tolist():
+            places, tokens = self._propose_long(data, int(start[w]), int(end[w]))
+            out_word.append(np.full(len(places), w))
+            out_at.append(places)
+            out_token.append(tokens)
         words, places, tokens = (np.concatenate(x) for x in (out_word, out_at, out_token))
         order = np.lexsort((places, words))
         return tokens[order], np.bincount(words, minlength=len(start))
 
+    def _propose_long(self, data: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of one long word, from the longest matches at all of its positions."""
+        places, tokens, at = [], [], start
+        while at < end:
+            here = np.arange(at, min(at + TABLE, end))
+            found, length = self.matches(data, here, np.full(len(here), end))
+            steps, own, k = length.tolist(), [], 0
+            while k < len(steps):
+                own.append(k)
+                k += steps[k]
+            places.append(at + np.array(own))
+            tokens.append(found[own])
+            at += k
+        return np.concatenate(places), np.concatenate(tokens)
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether no merge ever crosses the border of ``a[i]`` and ``b[i]``.
 
@@ -200,15 +257,49 @@ class Vocabulary:
         inner = np.flatnonzero(word[1:] == word[:-1])
         bad = np.unique(word[inner[~self.compatible(tokens[inner], tokens[inner + 1])]])
         if len(bad):
-            ends = np.cumsum(counts)
-            parts = np.split(tokens, ends[:-1])
+            parts = np.split(tokens, np.cumsum(counts)[:-1])
             for i in bad:
-                parts[i] = np.array(self.merge(words[i]), np.int64)
+                parts[i] = np.array(self.merge(words[i]), np.int64) if len(words[i]) <= LONG_WORD else self._mend(words[i], parts[i])
                 counts[i] = len(parts[i])
             tokens = np.concatenate(parts)
         return tokens, counts, len(bad)
 
 
+    def _mend(self, word: bytes, tokens: np.ndarray) -> np.ndarray:
+        """Exact tokens of a long word out of proposed ones.
+
+        The tokens around failing pairs are merged anew as words of their own;
+        what comes out is joined to the rest and tested again.  Surroundings of a
+        pair that still fails are four times as wide the next time, so in the
+        end they are the whole word.
+        """
+        around, merged = AROUND, {}
+        while len(bad := np.flatnonzero(~self.compatible(tokens[:-1], tokens[1:]))):
+            ends = np.cumsum(self.sizes[tokens])
+            low, high = np.maximum(bad - around + 1, 0), np.minimum(bad + around + 1, len(tokens))
+            apart = np.append(True, low[1:] > high[:-1])
+            low, high = low[apart], high[np.append(apart[1:], True)]
+            parts, at = [], 0
+            for a, b in zip(low.tolist(), high.tolist()):
+                piece = word[int(ends[a - 1]) if a else 0 : int(ends[b - 1])]
+                if piece not in merged:
+                    merged[piece] = np.array(self.merge(piece), np.int64)
+                parts += [tokens[at:a], merged[piece]]
+                at = b
+            tokens = np.concatenate([*parts, tokens[at:]])
+            around *= 4
+        return tokens
+
+
+def _hash_rows(rows: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings of one length."""
+    hashes = np.zeros(len(rows), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(rows.shape[1]):
+            hashes = hashes * np.uint64(1099511628211) + rows[:, k].astype(np.uint64) + np.uint64(1)
+    return mix(hashes)
+
+
 def pretoken_starts(codes: np.ndarray, row_start: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Where pre-tokens begin in the code points of a slice; ``row_start`` marks the first of each text.
 

@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -58,3 +59,27 @@ def test_table(spark, exact):
     found = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()
     assert sorted((r.doc_id or 0, r.ids) for r in found) == sorted((k or 0, exact.encode_ordinary(t or "")) for k, t, _ in rows)
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("letters", "n"), [("ACGT", 1_000_000), ("etaoinshrdlu", 200_000), ("a", 1_000_000), ("-", 300_000), ("-=_*#", 200_000), ("0123456789", 200_000), ([chr(c) for c in range(0x4E00, 0x9FFF)], 300_000), (["the", "quick", "national", "under"], 50_000), ([" "], 100_000), ("é", 70_000)])
+def test_runs_without_blanks_are_exact(exact, letters, n):
+    rng = random.Random(n)
+    run = "".join(rng.choices(letters, k=n))
+    began = time.monotonic()
+    got = encode([f"before {run} after", run, None])
+    assert time.monotonic() - began < 30
+    assert got == [exact.encode_ordinary(f"before {run} after"), exact.encode_ordinary(run), []]
+
+
+def test_long_words_are_mended(monkeypatch, exact):
+    """With one token on either side the borders of what is merged anew often fail again."""
+    vocabulary = bpe.encoder(bpe.vocabulary_path()).vocabulary
+    rng = random.Random(11)
+    for around in (1, 4):
+        monkeypatch.setattr(bpe, "AROUND", around)
+        for size in (65, 100, 700):
+            words = ["".join(rng.choice("abcdefghilmnoprstuy") for _ in range(size)) for _ in range(100)]
+            tokens, counts, repaired = vocabulary.encode_words([w.encode() for w in words])
+            assert repaired > 50
+            assert [p.tolist() for p in np.split(tokens, np.cumsum(counts)[:-1])] == [exact.encode_ordinary(w) for w in words]
+            assert [vocabulary.merge(w.encode()) for w in words] == [exact.encode_ordinary(w) for w in words]
