@@ -33,8 +33,8 @@ from cuewright.llm.turns import Speakers, known_speakers
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl")
 #: Documents per label (and as many without a usable one) that the filters are fitted on.
 SAMPLE = 150
-#: Characters of such a document that are fitted on.
-SAMPLE_CHARS = 20_000
+#: Sentences of such a document that are fitted on (of more, those that come first by a hash), and characters of a sentence.
+SAMPLE_SENTENCES, SAMPLE_CHARS = 250, 400
 #: Sentences with fewer n-grams than this are too short to decide alone.
 LEAST_GRAMS = 8
 #: Lead, as a share of the n-grams and in n-grams, that a decision needs.
@@ -215,24 +215,29 @@ def _lower(column: pa.Array) -> pa.Array:
 # ---------------------------------------------------------------- fitting
 
 
-def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = SAMPLE, per_text: int = SAMPLE_CHARS, rounds: int = 3) -> Filters:
-    """Filters for ``LANGUAGES``, fitted on at most ``per_label`` documents of each label and ``per_text`` characters of each.
+def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = SAMPLE, per_text: int = SAMPLE_SENTENCES, rounds: int = 3) -> Filters:
+    """Filters for ``LANGUAGES``, fitted on at most ``per_label`` documents of each label and ``per_text`` sentences of each.
 
     This bounds only what is fitted on; ``document_languages`` reads whole texts.
 
     The documents of a label (and those with none) that come first by a hash of
     their key are the sample, so it is the same whatever the partitioning; one
-    pass over the corpus keeps that many rows per label and task.
+    pass over the corpus keeps that many rows per label and task.  The sentences
+    of a longer text are drawn from all of it, by a hash of their words; one of
+    more than ``SAMPLE_CHARS`` characters counts as several.
     """
     named = F.coalesce(named_language(F.col(label)), F.lit("")).alias("named")
     order = Window.partitionBy("named").orderBy(F.xxhash64("key"), "text")
     picked = (
-        documents.select(F.col(key).cast("string").alias("key"), F.substring(F.col(text), 1, per_text).alias("text"), named)
+        documents.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), named)
         .where(F.length("text") > 40)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_label)
     )
-    texts = [r["text"] for r in picked.orderBy("named", "rank").select("text").collect()]
+    said = F.regexp_extract_all("text", F.lit(rf"(?s)(?:[^.!?]|[.!?](?!\s)){{1,{SAMPLE_CHARS}}}[.!?]*\s*"), 0)
+    drawn = F.array_sort(F.transform(said, lambda s: F.struct(F.xxhash64(s).alias("hash"), s.alias("s"))))
+    some = F.array_join(F.transform(F.slice(drawn, 1, per_text), lambda x: x["s"]), "\n\n")
+    texts = [r["text"] for r in picked.orderBy("named", "rank").select(F.when(F.size(said) <= per_text, F.col("text")).otherwise(some).alias("text")).collect()]
     return fit_texts(texts, rounds)
 
 
@@ -328,11 +333,8 @@ def _documents(batches: Iterator[pa.RecordBatch], filters: Filters, names: list[
             part_of = weight[np.arange(part.rows), np.maximum(main, 0)] / np.maximum(total, 1)
             confidence = np.where(total > 0, part_of * whole_sure, whole_sure)
             # Runs of sentences in one language; those too short to decide go with the run.
-            fill = own.copy()
-            for k in range(1, len(fill)):
-                if fill[k] < 0 and row[k] == row[k - 1]:
-                    fill[k] = fill[k - 1]
-            fill = np.where(fill < 0, main[row], fill) if len(row) else fill
+            last = np.maximum.accumulate(np.where(known, np.arange(len(own)), -1)) if len(own) else own
+            fill = np.where(last >= np.searchsorted(row, row), own[last], main[row])
             opens = np.ones(len(cuts), bool)
             opens[1:] = (row[1:] != row[:-1]) | (fill[1:] != fill[:-1])
             at = np.flatnonzero(opens)
@@ -407,7 +409,7 @@ def _without_label(column: pa.Array, people: Speakers) -> pa.Array:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], filters: Filters, names: list[str], speakers: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Per (entity, block, language): the segments in it, and how sure each is."""
+    """Per (entity, block, language): the segments in it, and how sure each is; languages are told on whole texts."""
     people = Speakers([dict(r) for r in speakers])
     codes = pa.array(LANGUAGES, pa.string())
     for batch in whole_groups(batches, [0, 1]):
@@ -435,6 +437,7 @@ def _segments(batches: Iterator[pa.RecordBatch], filters: Filters, names: list[s
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(rows),
+                batch.column(1).take(rows).cast(pa.int32()),
                 codes.take(pa.array(own[known[at]])),
                 pa.array(np.diff(np.append(at, len(known)))),
                 pa.ListArray.from_arrays(offsets, batch.column(2).take(pa.array(known))),
@@ -445,7 +448,7 @@ def _segments(batches: Iterator[pa.RecordBatch], filters: Filters, names: list[s
 
 
 def segment_languages(current: DataFrame, filters: Filters, entity: str = "media_id", position: str = "seg_idx", text: str = "text", speakers: DataFrame | None = None) -> DataFrame:
-    """Segments by medium, block and language: ``entity, lang, n, positions, confidences``.
+    """Segments by medium, block and language: ``entity, block, lang, n, positions, confidences``.
 
     ``current`` comes from ``latest_in_blocks``.  A row lists the positions of one
     block in one language, so what is joined per medium later are a few rows per
@@ -457,6 +460,7 @@ def segment_languages(current: DataFrame, filters: Filters, entity: str = "media
     schema = T.StructType(
         [
             T.StructField("entity", current.schema[entity].dataType),
+            T.StructField("block", T.IntegerType()),
             T.StructField("lang", T.StringType()),
             T.StructField("n", T.LongType()),
             T.StructField("positions", T.ArrayType(T.LongType())),
@@ -471,9 +475,13 @@ def segment_languages(current: DataFrame, filters: Filters, entity: str = "media
 
 
 def main_languages(by_block: DataFrame, entity: str = "media_id") -> DataFrame:
-    """The language most segments of each medium are in: ``entity, main``; ties go to the first in the alphabet.
+    """The language most segments of each medium are in: ``entity, block, main``, one row per block; ties go to the first in the alphabet.
 
-    Counts positions, not ``n``, so that who joins the result to the positions reads the same exchange.
+    A row per block, so that who joins it to the positions of a medium does so
+    block by block: only counts of blocks ever meet by medium alone.  Counts
+    positions, not ``n``, so that both sides of that join read the same exchange.
     """
-    counts = by_block.groupBy(entity, "lang").agg(F.sum(F.size("positions")).alias("n"))
-    return counts.groupBy(entity).agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("main"))
+    counts = by_block.groupBy(entity, "block", "lang").agg(F.sum(F.size("positions")).alias("n")).repartition(entity)
+    totals = counts.withColumn("total", F.sum("n").over(Window.partitionBy(entity, "lang")))
+    main = F.min_by("lang", F.struct(-F.col("total"), F.col("lang"))).over(Window.partitionBy(entity))
+    return totals.withColumn("main", main).groupBy(entity, "block").agg(F.first("main").alias("main"))

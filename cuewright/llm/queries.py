@@ -60,17 +60,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
     segments = _table(spark, folder, "segments").select("media_id", "seg_idx", "text", "ingested_at")
     current = latest_in_blocks(segments, "media_id", "seg_idx", "ingested_at")
-    # Three readers share this exchange: none of them may add a filter or drop a column that another keeps.
-    by_block = lang.segment_languages(current, filters, speakers=_table(spark, folder, "speakers")).where("media_id IS NOT NULL AND lang IS NOT NULL").select("media_id", "lang", "positions").repartition("media_id")
+    # Three readers share this exchange: none of them may add a filter or drop a column that another keeps.  It is by block,
+    # as are the joins: a medium that holds a third of all segments is no single task's.
+    by_block = lang.segment_languages(current, filters, speakers=_table(spark, folder, "speakers")).where("media_id IS NOT NULL AND block IS NOT NULL AND lang IS NOT NULL").select("media_id", "block", "lang", "positions").repartition("media_id", "block")
     mains = lang.main_languages(by_block)
     in_segments = (
-        by_block.join(mains, "media_id").where("lang <> main").select(kind("segment"), F.col("media_id").alias("item_key"), F.explode(F.col("positions").cast("array<int>")).alias("seg_idx"), "lang")
+        by_block.join(mains, ["media_id", "block"]).where("lang <> main").select(kind("segment"), F.col("media_id").alias("item_key"), F.explode(F.col("positions").cast("array<int>")).alias("seg_idx"), "lang")
     )
 
     videos = latest(_table(spark, folder, "videos").select("media_id", "subtitle_languages", "fetched_at"), ["media_id"], "fetched_at", ["subtitle_languages"])
     listed = F.coalesce(F.transform("subtitle_languages", lang.named_language), F.array().cast("array<string>"))
     in_videos = (
-        videos.join(mains, "media_id").where(~F.coalesce(F.array_contains(F.array_compact(listed), F.col("main")), F.lit(False))).select(kind("video"), F.col("media_id").alias("item_key"), whole, F.col("main").alias("lang"))
+        videos.join(mains.groupBy("media_id").agg(F.first("main").alias("main")), "media_id").where(~F.coalesce(F.array_contains(F.array_compact(listed), F.col("main")), F.lit(False))).select(kind("video"), F.col("media_id").alias("item_key"), whole, F.col("main").alias("lang"))
     )
     return in_documents.unionByName(in_segments).unionByName(in_videos)
 
