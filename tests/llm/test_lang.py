@@ -1,3 +1,4 @@
+import re
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -70,7 +71,37 @@ def test_segments_by_block(spark, filters):
     by_block = lang.segment_languages(latest_in_blocks(df, "media_id", "seg_idx", "ingested_at", block=8), filters)
     found = sorted((r.media_id, r.lang, r.positions) for r in by_block.collect())
     assert ("m", "en", [7]) in found and sum(len(p) for m, g, p in found if g == "it") == 19 and ("n", "es", [0]) in found
-    assert {tuple(r) for r in lang.main_languages(by_block).collect()} == {("m", "it"), ("n", "es")}
+    assert {tuple(r) for r in lang.main_languages(by_block).collect()} == {("m", 0, "it"), ("m", 1, "it"), ("m", 2, "it"), ("n", 0, "es")}
+
+
+def test_no_exchange_by_medium_alone_carries_positions(spark, tmp_path):
+    """One medium has nine tenths of all segments; its foreign ones come out all the same."""
+    from cuewright.llm.queries import p3_found
+
+    rows = [("hot" if i % 10 else f"m{i}", i, SAY["de" if i % 97 == 5 else "it"][i % 3], None, None, None, None) for i in range(9_000)]
+    tables = {
+        "segments": spark.createDataFrame(rows, "media_id string, seg_idx int, text string, ingested_at timestamp, start_ms double, end_ms double, turn boolean"),
+        "documents": spark.createDataFrame([(i, " ".join(SAY[c]), c) for i, c in enumerate(list(SAY) * 3)], "doc_id long, text string, lang string"),
+        "videos": spark.createDataFrame([("hot", ["en"], None)], "media_id string, subtitle_languages array<string>, fetched_at timestamp"),
+        "speakers": spark.createDataFrame([], "speaker_id string, full_name string, family_name string, honorific string, party string, office string"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = p3_found(spark, str(tmp_path))
+    rows_found = [tuple(r) for r in found.collect()]
+    assert {r for r in rows_found if r[0] == "segment"} == {("segment", "hot", i, "de") for i in range(9_000) if i % 97 == 5 and i % 10}
+    assert ("video", "hot", -1, "it") in rows_found
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [after for line, after in zip(plan, plan[1:]) if re.search(r"RepartitionByExpression \[media_id#\d+\]", line)]
+    assert below and all("Aggregate [media_id" in line for line in below)  # counts of blocks only
+
+
+def test_sentences_of_long_texts_are_drawn_from_all_of_them(spark):
+    late = " ".join(SAY["en"] * 300) + " " + " ".join(f"{a} {b}" for a, b in zip(SAY["pl"] * 400, SAY["pl"] * 400))
+    documents = spark.createDataFrame([(1, late, "x"), (2, " ".join(SAY["en"]), None), (3, None, None), (4, "word " * 50_000, None)], "doc_id long, text string, lang string")
+    filters = lang.fit(documents)
+    [row] = detect(spark, filters, [" ".join(SAY["pl"])])
+    assert row.detected == "pl"
 
 
 def test_filters_say_no_mostly(filters):
