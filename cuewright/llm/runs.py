@@ -5,7 +5,8 @@ code points (a text that differs from the one before it only by a slip of the
 pen gets that one's), the code points are concatenated, a pattern with a
 backreference finds the repetitions, and spans are mapped back to segments and
 times.  Blocks bound what a task holds of a hot medium; the first and last run
-of each block are joined with its neighbours' afterwards.
+of each block are joined with its neighbours' afterwards, in one ordered pass
+that other runs only cross.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ from cuewright.functions.stream import changes, whole_groups
 from cuewright.llm.speech import alike, canonical
 from cuewright.operators.latest import BLOCK, latest_in_blocks
 
+#: Columns of a piece that a run has too.
+_RESULT = [0, 2, 3, 4, 5, 6, 7]
 _PIECES = re.compile(r"([^\n])\1*")
 
 
@@ -88,9 +90,43 @@ def _pieces(batches: Iterator[pa.RecordBatch], names: list[str], least: int) ->
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-@F.pandas_udf(T.BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x is not None and y is not None and alike(x, y) for x, y in zip(a, b)])
+def _joined(batches: Iterator[pa.RecordBatch], names: list[str], least: int) -> Iterator[pa.RecordBatch]:
+    """Runs out of pieces ordered by (entity, bucket, first): those of bucket -1 may go on in the next one."""
+    kept: list[tuple] = []
+    open_run: list | None = None
+    before = kind = None
+
+    def closed() -> None:
+        if open_run is not None and open_run[3] >= least:
+            kept.append(tuple(open_run))
+
+    def told() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), kind)], names=names)
+        kept.clear()
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = batch.column(1).to_numpy() < 0
+        kind = [batch.column(c).type for c in _RESULT]
+        if not edge.all():
+            inner = batch.filter(pa.array(~edge))
+            yield pa.RecordBatch.from_arrays([inner.column(c) for c in _RESULT], names=names)
+        for entity, first, last, n, start, end, text, head, says_first, says_last in zip(*(c.to_pylist() for k, c in enumerate(batch.filter(pa.array(edge)).columns) if k != 1)):
+            if open_run is not None and open_run[0] == entity and head and before is not None and says_first is not None and alike(before, says_first):
+                open_run[2], open_run[3] = last, open_run[3] + n
+                open_run[4] = min((x for x in (open_run[4], start) if x is not None), default=None)
+                open_run[5] = max((x for x in (open_run[5], end) if x is not None), default=None)
+            else:
+                closed()
+                open_run = [entity, first, last, n, start, end, text]
+            before = says_last
+        if kept:
+            yield told()
+    closed()
+    if kept:
+        yield told()
 
 
 def collapse(
@@ -128,14 +164,10 @@ def collapse(
     )
     names = schema.fieldNames()
     pieces = current.select("entity", "block", "position", "start", "end", "text").mapInArrow(lambda it: _pieces(it, names, least), schema)
-    order = Window.partitionBy("entity", "bucket").orderBy("first")
-    placed = pieces.withColumn("before", F.lag("says_last").over(order))
-    joins = (F.col("bucket") < 0) & F.col("head") & F.coalesce(_alike("before", "says_first"), F.lit(False))
-    numbered = placed.withColumn("joins", joins).withColumn("run", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("entity", "bucket", "run").agg(
-        F.min("first").alias("first_seg_idx"), F.max("last").alias("last_seg_idx"), F.sum("n").alias("n"), F.min("start").alias("start_ms"), F.max("end").alias("end_ms"), F.min_by("text", "first").alias("text")
-    )
-    return runs.where(F.col("n") >= least).select(
+    result = T.StructType([schema["entity"], *(T.StructField(c, schema[o].dataType) for c, o in (("first_seg_idx", "first"), ("last_seg_idx", "last"), ("n", "n"), ("start_ms", "start"), ("end_ms", "end"), ("text", "text")))])
+    found = result.fieldNames()
+    runs = pieces.repartition("entity", "bucket").sortWithinPartitions("entity", "bucket", "first").mapInArrow(lambda it: _joined(it, found, least), result)
+    return runs.select(
         F.col("entity").alias(entity),
         F.col("first_seg_idx").cast(df.schema[position].dataType).alias("first_seg_idx"),
         F.col("last_seg_idx").cast(df.schema[position].dataType).alias("last_seg_idx"),
