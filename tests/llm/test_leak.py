@@ -1,8 +1,10 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
+from cuewright.llm import leak
 from cuewright.llm.leak import _GAP, _MATCH, _MISS, JUMP, leaks, matched_words
 
 WORDS = [f"{a}{b}" for a in ("ba", "de", "fi", "go", "lu", "mo", "ra", "se", "ti", "vu") for b in ("ker", "lan", "mit", "nor", "pel", "rus", "sta", "tol", "wex", "zin")]
@@ -117,3 +119,52 @@ def test_later_parts_of_a_long_item_count(spark):
     docs = [(0, body + item), (1, item[7_100:] + body), (2, body + item[4_000:8_000]), (3, item[:6_000] + body), (4, body)]
     found = {r.doc_id: r.covered for r in leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
     assert found == {0: 1.0, 1: 4_900 / 12_000, 3: 0.5}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_tiles_change_nothing_where_seeds_are_near(monkeypatch, seed):
+    """Tiles of a few words, with seeds all along: the same as the whole table of cells."""
+    monkeypatch.setattr(leak, "TILE", 4)
+    monkeypatch.setattr(leak, "REACH", 40)
+    rng = random.Random(seed)
+    item = [rng.randrange(12) for _ in range(rng.randrange(4, 30))]
+    text = [rng.randrange(12) for _ in range(10)] + item[: rng.randrange(18)] + [rng.randrange(12) for _ in range(5)] + item[rng.randrange(len(item)) :]
+    at = [(i, j) for i in range(len(item)) for j in range(len(text))]
+    got = matched_words(np.array(item, np.uint64), np.array(text, np.uint64), *(np.array(x) for x in zip(*at)))
+    assert got == brute(item, text) == matched_words(np.array(item, np.uint64), np.array(text, np.uint64))
+
+
+def test_books_and_long_items_cost_what_lies_near_seeds():
+    rng = random.Random(3)
+    item = np.array([rng.randrange(10**9) for _ in range(30_000)], np.uint64)
+    book = np.array([rng.randrange(10**9) for _ in range(400_000)], np.uint64)
+    text = np.concatenate([book[:200_000], item[3_000:20_000], book[200_000:], item[20_000:]])
+    places = np.arange(3_000, 29_990, 7)
+    began = time.monotonic()
+    assert matched_words(item, text, places, np.where(places < 20_000, places + 197_000, places + 397_000)) == 27_000
+    assert time.monotonic() - began < 60
+
+
+def test_nothing_depends_on_blocks_or_partitions(spark):
+    """Turns of phrase are told over all items, copies of a text over all tasks."""
+    rng = random.Random(23)
+    shared, formula = passage(rng, 9), "the chamber shall now resume with the same officer in the chair.".split()
+    items = [passage(rng, 25) + shared + passage(rng, 25) if k < 4 else (formula if k % 2 else []) + passage(rng) for k in range(60)]
+    copied = passage(rng, 40) + items[7][20:50]
+    docs = [(d, " ".join([*(formula if d % 3 else []), *passage(rng, 60), *shared])) for d in range(300)]
+    docs += [(1000 + d, " ".join(items[k][: 40 + d % 9] + passage(rng, 30))) for d, k in enumerate(rng.choices(range(60), k=100))]
+    docs += [(2000 + d, " ".join(copied)) for d in range(200)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    questions = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    wanted = sorted(map(tuple, leaks(table, questions).collect()))
+    assert {d for d, *_ in wanted} >= {2000 + d for d in range(200)} and len(wanted) >= 300
+    for partitions, block_words in ((1, 200_000), (8, 700), (64, 1_500)):
+        assert sorted(map(tuple, leaks(table.repartition(partitions), questions.repartition(3), block_words=block_words).collect())) == wanted
+
+
+def test_a_copy_of_an_item_of_any_length_is_found(spark):
+    rng = random.Random(29)
+    item = [f"word{rng.randrange(10**6)}" for _ in range(20_000)]
+    docs = [(0, " ".join(passage(rng, 300) + item)), (1, " ".join(item[:7_000])), (2, " ".join(passage(rng, 500)))]
+    found = [tuple(r) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()]
+    assert found == [(0, 5, 1.0)]
