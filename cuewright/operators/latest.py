@@ -30,10 +30,15 @@ def latest_in_blocks(df: DataFrame, entity: str, position: str, version: str, bl
     entity or a position have no place in an order and are left out.
     """
     placed = df.where(F.col(entity).isNotNull() & F.col(position).isNotNull())
-    placed = placed.withColumn("block", F.floor(F.col(position) / F.lit(block)).cast("int"))
+    placed = placed.withColumn("block", block_of(position, block))
     order = Window.partitionBy(entity, "block", position).orderBy(F.col(version).desc_nulls_last())
     return _first(placed.repartition(entity, "block"), order)
 
 
+def block_of(position: str, block: int = BLOCK) -> Column:
+    """The block that a position is in."""
+    return F.floor(F.col(position) / F.lit(block)).cast("int")
+
+
 def _first(df: DataFrame, order: object) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
