@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +93,7 @@ def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = turns.speaker_turns(_table(spark, folder, "segments"), _table(spark, folder, "speakers"))
+    found = turns.speaker_turns(_table(spark, folder, "segments"), _table(spark, folder, "speakers"), pause_ms=math.inf, texts=False)
     return found.where("opened_by IN ('label', 'flag')").select("media_id", "seg_idx", "speaker_id")
 
 

@@ -113,3 +113,67 @@ def test_overlaps_are_the_longest():
     for _ in range(500):
         before, words = ([rng.choice("ab") for _ in range(rng.randrange(12))] for _ in range(2))
         assert _overlap(before, words) == max([n for n in range(3, 13) if n <= min(len(before), len(words)) and before[-n:] == words[:n]], default=0)
+
+
+def merged(found):
+    """Turns with the rows that later blocks add to them put together."""
+    out = []
+    for entity, seg, part, who, opened_by, start, end, text in sorted(map(tuple, found)):
+        if opened_by == "carry" and out and out[-1][0] == entity and out[-1][3] == who:
+            out[-1][6:] = max((x for x in (out[-1][6], end) if x is not None), default=None), f"{out[-1][7]} {text}".strip()
+        else:
+            out.append([entity, seg, part, who, opened_by, start, end, text])
+    return out
+
+
+def test_blocks_change_only_the_rows_a_text_comes_in(spark):
+    """Pauses, captions that roll or grow, holders of the floor and gaps go across the borders of blocks."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for medium, n in (("hot", 900), ("small", 30), ("quiet", 5)):
+        now, said = 0.0, []
+        for i in range(n):
+            fresh = [rng.choice(words) for _ in range(rng.randrange(1, 9))]
+            text = said[-rng.choice([0, 0, 3, 6, 12]) :] + fresh if said and rng.random() < 0.6 else fresh
+            said += fresh
+            label = rng.choice(["", "", "", "", "", "Kuzenberg: ", "Speaker 2: ", "Mr Brown: "])
+            now += rng.choice([0, 100, 400, 400, 900, 30_000 if rng.random() < 0.03 else 0])
+            rows.append((medium, i, now if rng.random() < 0.97 else None, now + rng.choice([500, 2500, -50]), label + " ".join(text) if rng.random() < 0.95 else None, rng.random() < 0.02, T1, "x", "y"))
+            now += 1500
+    table = spark.createDataFrame(rows, SEG).repartition(4)
+    people = spark.createDataFrame(PEOPLE, SPEAKERS)
+    whole = merged(speaker_turns(table, people).collect())
+    assert {r[4] for r in whole} >= {"label", "flag", "pause"}
+    for block in (16, 64, 512):
+        assert merged(speaker_turns(table, people, block=block).collect()) == whole
+
+
+@pytest.mark.parametrize("n", [41, 60, 500])
+@pytest.mark.parametrize("block", [1, 4096])
+def test_overlaps_of_any_length_are_removed(spark, n, block):
+    a, b, c = ([f"{x}{i}" for i in range(n)] for x in "abc")
+    found = turns(spark, [("Kuzenberg: " + " ".join(a + b), False), (" ".join(b + c), False), (" ".join(c + ["end"]), False)], block=block)
+    assert " ".join(t for *_, t in found).split() == a + b + c + ["end"]
+
+
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_pauses_at_borders_of_blocks(spark, block):
+    rows = [("m", i, s, s + 900, t, None, T1, "", "") for i, (s, t) in enumerate([(0.0, "Kuzenberg: a b c"), (1000.0, "d"), (90_000.0, "e"), (91_000.0, "f"), (200_000.0, "g")])]
+    found = speaker_turns(spark.createDataFrame(rows, SEG), spark.createDataFrame(PEOPLE, SPEAKERS), pause_ms=30_000, block=block)
+    assert [(r[1], r[3], r[4], r[7]) for r in merged(found.collect())] == [(0, "s3", "label", "a b c d"), (2, "s3", "pause", "e f"), (4, "s3", "pause", "g")]
+
+
+def test_names_and_offices_of_any_length_are_labels():
+    office = "Minister for " + ", ".join(f"the Affairs of Region Number {i}" for i in range(30))
+    own = Speakers([dict(zip(["speaker_id", "full_name", "family_name", "honorific", "party", "office"], p)) for p in [*PEOPLE, ("s9", "Maria del Carmen Ines Sofia Alba Rosa Luz Vega", "Vega", "Dr", "Union of Free Towns and Harbours", office)]])
+    for label in (office, f"The {office}", office.upper(), "Maria del Carmen Ines Sofia Alba Rosa Luz Vega (Union of Free Towns and Harbours)", office.replace(" ", "   ")):
+        for text in (f"{label}: x", f"first words. {label}: x", f"[{label}] x", f"<v {label}> x", f"{label} - x"):
+            assert [w for _, _, w in own.labels(text)] == ["s9"], text
+    assert own.labels("word " * 200_000 + "Kuzenberg: x")[0][2] == "s3" and own.labels("a b: " * 3_000) == []
+
+
+def test_openings_alone_need_no_texts(spark):
+    full = turns(spark, TALK)
+    found = turns(spark, TALK, pause_ms=float("inf"), texts=False)
+    assert opened(found) == opened(full) and {t for *_, t in found} == {None}
