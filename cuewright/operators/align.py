@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import col
+from cuewright.operators.latest import BLOCK, block_of
 
 #: Windows of one medium that are joined as one array; a medium with more is matched in buckets of time.
 MAX_WINDOWS = 1024
@@ -73,12 +74,14 @@ def _assign_in_buckets(segments: DataFrame, wins: DataFrame, entity: str, window
     return keyed.join(best, "_row", "left").withColumn(window, -F.col("_best.neg")).withColumn("overlap_ms", F.coalesce(F.col("_best.ov"), F.lit(0.0))).drop("_row", "_best")
 
 
-def positions_by_window(assigned: DataFrame, windows: DataFrame, entity: str = "media_id", window: str = "grid_idx", position: str = "seg_idx") -> DataFrame:
-    """``entity, window, positions``: segments of every window in order; a window without any has an empty array.
+def positions_by_window(assigned: DataFrame, windows: DataFrame, entity: str = "media_id", window: str = "grid_idx", position: str = "seg_idx", block: int = BLOCK) -> DataFrame:
+    """``entity, window, block, positions``: segments of every window in order, one row per block of ``block`` positions.
 
-    A window holds the segments of its own span of time; for windows without
-    such a bound, group ``assign_to_windows`` itself.
+    So no row grows with a window, whatever it holds.  A window without any
+    segment has one row with a null block and an empty array; segments in no
+    window, and those without a position, are left out.
     """
-    grouped = assigned.where(F.col(window).isNotNull()).groupBy(entity, window).agg(F.array_sort(F.collect_list(position)).alias("positions"))
+    kept = assigned.where(F.col(window).isNotNull() & F.col(position).isNotNull()).withColumn("block", block_of(position, block))
+    grouped = kept.groupBy(entity, window, "block").agg(F.array_sort(F.collect_list(position)).alias("positions"))
     every = windows.select(entity, window).distinct()
     return every.join(grouped, [entity, window], "left").withColumn("positions", F.coalesce("positions", F.array().cast(grouped.schema["positions"].dataType)))

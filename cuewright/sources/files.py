@@ -16,8 +16,6 @@ from cuewright.errors import MediaError
 from cuewright.schemas import PROBE_RESULT
 from cuewright.sources import headers
 
-#: Image formats without magic bytes of their own.
-IMAGE_EXTENSIONS = [".svg", ".svgz", ".cr2", ".cr3", ".nef", ".arw", ".dng", ".orf", ".rw2", ".psd"]
 #: Bytes at either end of a file that its fingerprint reads.
 SAMPLE_BYTES = 64 * 1024
 #: Paths a worker probes in one batch.
@@ -91,7 +89,7 @@ def kind_of(head: Column | str, path: Column | str) -> Column:
     image = starts(*headers.IMAGE_MAGIC)
     av = starts(*headers.AV_MAGIC)
     extension = F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
-    return F.when(image, "image").when(av, "av").when(extension.isin(*IMAGE_EXTENSIONS), "image").otherwise("unknown")
+    return F.when(image, "image").when(av, "av").when(extension.isin(*headers.IMAGE_EXTENSIONS), "image").otherwise("unknown")
 
 
 def fingerprint(content: Column | str, length: Column | str) -> Column:
@@ -131,6 +129,26 @@ def probe_file(path: str, prober: Prober = headers.probe) -> tuple[dict | None,
         return None, {"code": "UNSUPPORTED_FORMAT", "message": f"cannot read {path}: {bad}"}
 
 
+def probe_content(df: DataFrame, key: str, path: str = "path", content: str = "content") -> DataFrame:
+    """``key, info, error`` of files whose content (as much of it as has headers) is in a column; one row per row, no shuffle."""
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), *PROBE_RESULT.fields[2:]])
+
+    def one(name: str | None, body: bytes | None) -> tuple[dict | None, dict | None]:
+        try:
+            if body is None:
+                raise MediaError("FILE_NOT_FOUND", "no content")
+            return {**asdict(headers.probe_bytes(bytes(body), name or "")), "path": name, "file_size_bytes": len(body)}, None
+        except MediaError as bad:
+            return None, {"code": bad.code, "message": bad.message}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [one(n, b) for n, b in zip(batch["path"], batch["content"])]
+            yield pd.DataFrame({"key": batch["key"].values, "info": [i for i, _ in found], "error": [e for _, e in found]})
+
+    return df.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, schema).withColumnRenamed("key", key)
+
+
 def probe(paths: DataFrame, prober: Prober = headers.probe, partitions: int | None = None) -> DataFrame:
     """``ordinal, path, info, error`` of each path of ``ordinal, path``: headers only, nothing is decoded.
 

@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass
+from io import BytesIO
 from typing import BinaryIO
 
 from cuewright.errors import MediaError
@@ -17,6 +18,8 @@ AV_MAGIC = (
     "52494646.{8}57415645", "52494646.{8}41564920", "494433", "FFF[B3A2]", "FFF[19]", "4F676753", "664C6143", "1A45DFA3",
     ".{8}66747970", ".{8}6D6F6F76", "464F524D.{8}41494646", "2E736E64", "3026B275", "000001B[A3]", "464C56", "2321414D52",
 )
+#: Image formats without magic bytes of their own.
+IMAGE_EXTENSIONS = [".svg", ".svgz", ".cr2", ".cr3", ".nef", ".arw", ".dng", ".orf", ".rw2", ".psd"]
 
 
 @dataclass
@@ -43,14 +46,24 @@ def _kind(head: bytes) -> str | None:
 
 def probe(path: str) -> Info:
     """Metadata of a file by its header; ``UNSUPPORTED_FORMAT`` if it has none we know."""
-    size = os.stat(path).st_size
     with open(path, "rb") as f:
-        head = f.read(65_536)
-        kind = _kind(head)
-        try:
-            info = image(head, f) if kind == "image" else _av(head, f, size)
-        except (struct.error, IndexError, ValueError) as bad:
-            raise MediaError("UNSUPPORTED_FORMAT", f"broken header in {path}", bad) from bad
+        return probe_stream(f, os.stat(path).st_size, path)
+
+
+def probe_bytes(content: bytes, path: str = "") -> Info:
+    """The same of a file's content."""
+    return probe_stream(BytesIO(content), len(content), path)
+
+
+def probe_stream(f: BinaryIO, size: int, path: str) -> Info:
+    head = f.read(65_536)
+    kind = _kind(head)
+    if kind is None and os.path.splitext(path)[1].lower() in IMAGE_EXTENSIONS:
+        kind = "image"
+    try:
+        info = image(head, f) if kind == "image" else _av(head, f, size)
+    except (struct.error, IndexError, ValueError) as bad:
+        raise MediaError("UNSUPPORTED_FORMAT", f"broken header in {path}", bad) from bad
     if info is None:
         raise MediaError("UNSUPPORTED_FORMAT", f"unknown format: {path}")
     if info.type == "video":
@@ -83,9 +96,36 @@ def _image_size(head: bytes, f: BinaryIO | None) -> tuple[int, int] | None:
         return _tiff(head)
     if head[:4] == b"\0\0\1\0":
         return head[6] or 256, head[7] or 256
+    if head[:4] == b"8BPS":
+        height, width = struct.unpack(">II", head[14:22])
+        return width, height
+    if head[:2] == b"\x1f\x8b" or b"<svg" in head:
+        return _svg(zlib.decompressobj(31).decompress(head, 65_536) if head[:2] == b"\x1f\x8b" else head)
+    if head[:2] in (b"II", b"MM"):  # raw pictures are TIFF files, some with a number of their own
+        return _tiff(head)
     return None
 
 
+_SVG = re.compile(r"<svg\b[^>]*>", re.S)
+#: Pixels of a unit of length, at 96 to an inch.
+_UNITS = {"": 1.0, "px": 1.0, "pt": 96 / 72, "pc": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 9.6 / 2.54}
+
+
+def _svg(head: bytes) -> tuple[int, int] | None:
+    """Width and height of a drawing: its own, else those of its view box."""
+    tag = _SVG.search(head.decode("utf-8", "replace"))
+    if tag is None:
+        return None
+    own = [re.search(rf"\s{name}\s*=\s*[\"']\s*([\d.]+)\s*([a-z]*)\s*[\"']", tag[0]) for name in ("width", "height")]
+    if all(m and m[2] in _UNITS for m in own):
+        width, height = (float(m[1]) * _UNITS[m[2]] for m in own)
+    elif box := re.search(r"\sviewBox\s*=\s*[\"']([^\"']*)[\"']", tag[0]):
+        width, height = map(float, re.split(r"[\s,]+", box[1].strip())[2:4])
+    else:
+        return None
+    return round(width), round(height)
+
+
 def _webp(head: bytes) -> tuple[int, int] | None:
     kind = head[12:16]
     if kind == b"VP8X":

@@ -153,7 +153,7 @@ def test_payloads_count_all_segments(spark, tmp_path):
     rows = [(m, i, 0.0, 1.0, x, False) for m, texts in media.items() for i, x in enumerate(texts)]
     df = spark.createDataFrame(rows, "media_id string, seg_idx int, start_ms double, end_ms double, text string, turn boolean")
     df.withColumn("ingested_at", F.timestamp_micros(F.lit(0))).write.parquet(f"{tmp_path}/segments.parquet")
-    found = {r.media_id: (r.total, r.n, r.over) for r in QUERIES["payload_length_whole"](spark, str(tmp_path)).collect()}
+    found = {r.media_id: (r.total, r.n, r.over) for r in QUERIES["payload_length"](spark, str(tmp_path)).collect()}
     wanted = {}
     for m, texts in media.items():
         items = [{"type": "text", "text": x} for x in texts if x is not None]
