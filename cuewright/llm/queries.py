@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm import bpe, lang, leak, reading, runs, split, turns
@@ -40,6 +40,20 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, False).select("item_kind", "media_id", "seg_idx", "piece", "n_pieces", "begin", "end", "text")
 
 
+def p1_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every current text put together from its pieces, less what they share with the one before: what was cut, whole."""
+    pieces = _pieces(spark, folder, False)
+    new = F.substring("text", F.greatest(F.lit(0), F.col("before") - F.col("begin")) + 1, F.length("text"))
+    keys = ["item_kind", "media_id", "seg_idx"]
+    shared = pieces.withColumn("before", F.coalesce(F.lag("end").over(Window.partitionBy(*keys).orderBy("piece")), F.lit(0))).withColumn("new", new)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "new"))), lambda x: x["new"]), "")
+    return shared.groupBy(*keys).agg(F.md5(joined).alias("digest"), F.max(F.length("text")).alias("longest"), F.count(F.lit(1)).alias("n")).select(*keys, "digest", (F.col("longest") > F.when(F.col("item_kind") == "segment", _most(spark, folder, "segment")).otherwise(_most(spark, folder, "transcript"))).alias("over"), (F.col("n") > 1).alias("cut"))
+
+
+def _most(spark: SparkSession, folder: str, kind: str) -> Column:
+    return F.lit(split.limits(_table(spark, folder, "split_limits"))[kind][0])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     filters = lang.fit(documents)
@@ -92,6 +106,12 @@ def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse(_table(spark, folder, "segments"))
 
 
+def p4_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the runs of each medium add up to: nothing is lost, nothing counted twice."""
+    found = runs.collapse(_table(spark, folder, "segments"))
+    return found.groupBy("media_id").agg(F.sum("n").cast("long").alias("n"), F.min("first_seg_idx").alias("first"), F.max("last_seg_idx").alias("last"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     found = turns.speaker_turns(_table(spark, folder, "segments"), _table(spark, folder, "speakers"), pause_ms=math.inf, texts=False)
     return found.where("opened_by IN ('label', 'flag')").select("media_id", "seg_idx", "speaker_id")
@@ -120,10 +140,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rebuilt": p1_rebuilt,
     "p3_found": p3_found,
     "p3_languages": p3_languages,
     "p4_found": p4_found,
     "p4_runs": p4_runs,
+    "p4_totals": p4_totals,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
     "p6_ids": p6_ids,
@@ -136,4 +158,10 @@ ORACLE: dict[str, str] = {
 u AS (SELECT media_id, transcript, row_number() OVER (PARTITION BY media_id ORDER BY created_at DESC) AS rn FROM understand_results)
 SELECT 'segment' AS item_kind, media_id, seg_idx FROM s WHERE rn = 1 AND length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'segment')
 UNION ALL SELECT 'transcript', media_id, -1 FROM u WHERE rn = 1 AND length(transcript) > (SELECT max_chars FROM split_limits WHERE item_kind = 'transcript')""",
+    "p1_rebuilt": """WITH s AS (SELECT media_id, seg_idx, text, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY ingested_at DESC) AS rn FROM segments),
+u AS (SELECT media_id, transcript, row_number() OVER (PARTITION BY media_id ORDER BY created_at DESC) AS rn FROM understand_results)
+SELECT 'segment' AS item_kind, media_id, seg_idx, md5(text) AS digest, false AS over, length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'segment') AS cut FROM s WHERE rn = 1 AND text IS NOT NULL
+UNION ALL SELECT 'transcript', media_id, -1, md5(transcript), false, length(transcript) > (SELECT max_chars FROM split_limits WHERE item_kind = 'transcript') FROM u WHERE rn = 1 AND transcript IS NOT NULL""",
+    "p4_totals": """WITH s AS (SELECT *, row_number() OVER (PARTITION BY media_id, seg_idx ORDER BY ingested_at DESC) AS rn FROM segments WHERE media_id IS NOT NULL AND seg_idx IS NOT NULL)
+SELECT media_id, CAST(count(*) AS BIGINT) AS n, min(seg_idx) AS first, max(seg_idx) AS last, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM s WHERE rn = 1 AND regexp_matches(text, '[\\p{L}\\p{N}_♪♫🎵🎶]') GROUP BY 1""",
 }
