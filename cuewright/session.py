@@ -1,11 +1,11 @@
-"""Session settings that every query of this library assumes, and the shared checkpoint folder."""
+"""Session settings that every query of this library assumes."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Results depend on these: plain base64 without line breaks, UTC time stamps.
 REQUIRED = {"spark.sql.chunkBase64String.enabled": "false", "spark.sql.session.timeZone": "UTC"}
@@ -34,22 +34,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if not shared and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "cuewright-checkpoints"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _shipped: set[str] = set()
 
 

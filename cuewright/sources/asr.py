@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from cuewright.errors import ERROR, MediaError
 from cuewright.operators.frames import ready
 from cuewright.options import DEFAULT_MODEL
+from cuewright.sources import subtitles
 from cuewright.sources.files import file_fingerprint
 
 #: Fixed value: the shape of the names of speech models.
@@ -55,18 +56,14 @@ class Sidecar:
         raise MediaError("NO_AUDIO_STREAM", f"nothing transcribes {path}: no speech provider, no subtitles beside it")
 
 
-_STAMP = r"(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})"
-_CUE = re.compile(rf"(?m)^[^\S\n]*{_STAMP}[^\S\n]+-->[^\S\n]+{_STAMP}[^\n]*$")
-
-
 def parse_text(content: str, extension: str) -> list[dict]:
-    """Cues of one subtitle text, as ``sources.subtitles`` has them, without Spark."""
+    """Cues of one subtitle text by the grammar of ``sources.subtitles``, without Spark."""
     if extension not in (".srt", ".vtt"):
         return [{"start_ms": 0.0, "end_ms": 0.0, "text": content}]
     out = []
-    for block in re.split(r"\n[^\S\n]*\n\s*", content.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")):
-        stamp = _CUE.search(block)
-        if stamp is None or re.match(r"\s*(NOTE|STYLE|REGION)\b", block):
+    for block in re.split(subtitles.BETWEEN, content.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")):
+        stamp = re.search(subtitles.ARROW, block)
+        if stamp is None or re.match(subtitles.NO_CUE, block):
             continue
         text = re.sub(r"<[^>]*>", "", block[stamp.end() :]).replace("\n", " ").strip()
         if text:
