@@ -87,16 +87,14 @@ class Answer(tools.Payload):
         item = _image(data)
         if not self._fits(self.image_size(len(item["data"]))):
             return False
-        self.items.append(item)
-        self.sizes.append(self.image_size(len(item["data"])))
+        self._add(item, self.image_size(len(item["data"])))
         return True
 
     def text(self, text: str, force: bool = False) -> bool:
         size = self.text_size(text)
         if not force and not self._fits(size):
             return False
-        self.items.append(_text(text))
-        self.sizes.append(size)
+        self._add(_text(text), size)
         return True
 
     def finish(self, what: str) -> list[dict]:

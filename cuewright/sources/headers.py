@@ -62,7 +62,7 @@ def probe_stream(f: BinaryIO, size: int, path: str) -> Info:
         kind = "image"
     try:
         info = image(head, f) if kind == "image" else _av(head, f, size)
-    except (struct.error, IndexError, ValueError) as bad:
+    except (struct.error, zlib.error, IndexError, ValueError) as bad:
         raise MediaError("UNSUPPORTED_FORMAT", f"broken header in {path}", bad) from bad
     if info is None:
         raise MediaError("UNSUPPORTED_FORMAT", f"unknown format: {path}")

@@ -111,3 +111,13 @@ def test_asof_matches_brute_force(spark, block):
 def test_targets_are_clamped(spark):
     df = spark.createDataFrame([(10.0, 9.9), (10.0, 3.0), (0.1, 5.0), (None, 4.0)], "duration_sec double, timestamp_sec double")
     assert [r.lookup_sec for r in asof.clamp_targets(df).collect()] == [9.8, 3.0, 0.0, 4.0]
+
+
+def test_no_row_grows_with_a_window(spark):
+    """One medium has nine tenths of all segments, in one window: its positions come in blocks."""
+    segs = spark.range(3_000).selectExpr("if(id % 10 = 0, concat('m', id), 'hot') AS media_id", "cast(id AS int) AS seg_idx", "id * 10.0D AS start_ms", "id * 10.0D + 9 AS end_ms")
+    wins = spark.createDataFrame([("hot", 0, 0.0, 100.0), ("hot", 1, 200.0, 300.0), ("m10", 0, 0.0, 1.0)], "media_id string, grid_idx int, start_sec double, end_sec double")
+    found = align.positions_by_window(align.assign_to_windows(segs, wins), wins, block=256).collect()
+    assert max(len(r.positions) for r in found) <= 256
+    assert sorted(p for r in found if r.media_id == "hot" for p in r.positions) == [i for i in range(3_000) if i % 10]
+    assert {(r.media_id, r.grid_idx, r.block, len(r.positions)) for r in found if (r.media_id, r.grid_idx) != ("hot", 0)} == {("hot", 1, None, 0), ("m10", 0, 0, 1)}

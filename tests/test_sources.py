@@ -181,3 +181,30 @@ def test_urls(spark, tmp_path):
     with pytest.raises(MediaError) as e:
         urls.CommandFetcher("no-such-command").metadata("http://x")
     assert e.value.code == "YT_DLP_NOT_FOUND"
+
+
+def test_pictures_without_magic_bytes(tmp_path):
+    """By extension: drawings, plain and packed, raw pictures and layered ones; what has no header is an error."""
+    import gzip
+
+    svg = b'<?xml version="1.0"?><!-- x --><svg xmlns="http://www.w3.org/2000/svg" width="2in" height="48pt" viewBox="0 0 9 9">'
+    boxed = b"<svg viewBox='0 0 640 480' width='100%'>"
+    tiff = b"II*\0" + struct.pack("<IHHHII", 8, 2, 256, 3, 1, 300) + struct.pack("<HHII", 257, 3, 1, 200)
+    raw = b"IIU\0" + tiff[4:]
+    psd = b"8BPS" + struct.pack(">H6xHII", 1, 3, 70, 90)
+    names = {"a.svg": (svg, 192, 64), "b.SVG": (boxed, 640, 480), "c.svgz": (gzip.compress(svg), 192, 64), "d.rw2": (raw, 300, 200), "e.dng": (tiff, 300, 200), "f.psd": (psd, 90, 70)}
+    for name, (body, width, height) in names.items():
+        (tmp_path / name).write_bytes(body)
+        info = headers.probe(str(tmp_path / name))
+        assert (info.type, info.width, info.height) == ("image", width, height), name
+        assert headers.probe_bytes(body, name) == info
+    for name, body in (("g.svg", b"<html>"), ("h.cr2", b""), ("i.txt", svg), ("j.svgz", b"\x1f\x8bxx")):
+        with pytest.raises(MediaError):
+            headers.probe_bytes(body, name)
+
+
+def test_contents_are_probed_one_by_one(spark):
+    rows = spark.createDataFrame([(1, "a.svg", bytearray(b'<svg width="3" height="4">')), (2, "b", bytearray(b"nothing")), (3, None, None), (4, "c.svgz", bytearray(b"\x1f\x8bxx"))], "k int, path string, content binary")
+    found = {r.k: (r.info.width if r.info else None, r.error.code if r.error else None) for r in files.probe_content(rows, "k").collect()}
+    assert found == {1: (3, None), 2: (None, "UNSUPPORTED_FORMAT"), 3: (None, "FILE_NOT_FOUND"), 4: (None, "UNSUPPORTED_FORMAT")}
+    assert files.probe_content(rows.limit(0), "k").count() == 0
