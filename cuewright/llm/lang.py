@@ -393,16 +393,17 @@ def document_languages(df: DataFrame, filters: Filters, key: str = "doc_id", tex
 # ---------------------------------------------------------------- segments
 
 
-#: What may end with a speaker's label at the head of a segment; a label isn't in the language of the speech.
-_LABEL = r"^[^:]{0,45}:(\s|$)|^[^:-]{0,45} [-—–](\s|$)"
-
-
 def _without_label(column: pa.Array, people: Speakers) -> pa.Array:
-    """Texts without the label at their head, where there is one: other words before a colon or a dash are spoken."""
-    maybe = pc.match_substring_regex(column, _LABEL)
+    """Texts without the label at their head, where there is one: other words before a colon or a dash are spoken.
+
+    A label isn't in the language of the speech.  It ends within as many words
+    as one may have, and a few for a time stamp and the like before it.
+    """
+    head = rf"^(?:\S+\s+){{0,{people.most + 4}}}(?:\S*[:—]|[-–])(?:\s|$)"
+    maybe = pc.match_substring_regex(column, head)
     spoken = []
     for text in column.filter(maybe).to_pylist():
-        end = re.match(_LABEL, text)
+        end = re.match(head, text)
         label = next((x for x in people.labels(text) if end and x[0] < end.end()), None)
         spoken.append(f"{text[: label[0]]} {text[label[1] :]}" if label else text)
     return pc.replace_with_mask(column, maybe, pa.array(spoken, column.type))

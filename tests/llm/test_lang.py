@@ -138,3 +138,13 @@ def test_words_before_a_colon_are_spoken(spark, filters):
     df = spark.createDataFrame(rows, "media_id string, seg_idx int, text string, ingested_at timestamp")
     found = lang.segment_languages(latest_in_blocks(df, "media_id", "seg_idx", "ingested_at"), filters).where("lang = 'en'").collect()
     assert [r.positions for r in found] == [[5, 6]]
+
+
+def test_labels_of_any_length_are_no_speech(spark):
+    from cuewright.llm.turns import Speakers
+
+    office = "Minister for the Harbours, the Ferries, the Bridges and the Lighthouses of the Northern and the Southern Islands"
+    people = Speakers([{"speaker_id": "s1", "full_name": "Ada Brown", "family_name": "Brown", "honorific": "Ms", "party": "Green Shore", "office": office}])
+    texts = [f"{office}: {SAY['es'][0]}", f"[00:01:02] the {office} — x", "Brown— y", f"to quote the {office} again: z", "a: b"]
+    got = [t.as_py().split() for t in lang._without_label(lang._lower(pa.array(texts)), people)]
+    assert got == [SAY["es"][0].lower().split(), ["[00:01:02]", "x"], ["y"], texts[3].lower().split(), ["a:", "b"]]
