@@ -399,7 +399,7 @@ def _without_label(column: pa.Array, people: Speakers) -> pa.Array:
     A label isn't in the language of the speech.  It ends within as many words
     as one may have, and a few for a time stamp and the like before it.
     """
-    head = rf"^(?:\S+\s+){{0,{people.most + 4}}}(?:\S*[:—]|[-–])(?:\s|$)"
+    head = rf"^(?:-\s+)?(?:\S*[^\s:—–-]\s+){{0,{people.most + 4}}}(?:\S*[:—]|[-–])(?:\s|$)"
     maybe = pc.match_substring_regex(column, head)
     spoken = []
     for text in column.filter(maybe).to_pylist():
